@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from silovalue.functions.hashing import hash_below
-from silovalue.operators import combine, count_model, metrics as M
+from silovalue.operators import count_model, metrics as M
 from silovalue.plans.catalog import view
 from silovalue.sources.tables import dataset, read_table
 
@@ -91,8 +91,27 @@ view("silo_lines", """
 SELECT l_suppkey % 5 AS client_id, l_quantity / 50 AS a, l_discount * 10 AS b, l_returnflag AS label FROM lineitem""")
 
 
-def train_rows(spark: SparkSession, d: str) -> DataFrame:
-    return silo_events(spark, d).where(F.col("split") == "train")
+class EventModel:
+    """The counted event table and what follows from it: class list, bucket list, count models.
+
+    Rows are read once, when the counts are made.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, extra: dict[str, Column] | None = None):
+        extra = extra or {}
+        rows = silo_events(spark, d).withColumns(extra) if extra else silo_events(spark, d)
+        self.counts = count_model.count_rows(rows, ["client_id", "split", "bucket", "label", *extra])
+        self.train = self.counts.where(F.col("split") == "train")
+        self.test = self.counts.where(F.col("split") == "test")
+        self.labels = count_model.literal_list(self.train, "label")
+        self.buckets = count_model.literal_list(self.train, "bucket")
+        self.silos = self.train.select("client_id").distinct()
+
+    def params(self) -> DataFrame:
+        return count_model.fit_per_client(self.train, self.labels, self.buckets)
+
+    def global_params(self) -> DataFrame:
+        return count_model.average_parameters(self.params(), ["bucket", "label"])
 
 
 def test_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -115,10 +134,12 @@ view("global_params", """
 SELECT bucket, label, sum(n_examples * value) / sum(n_examples) AS value FROM params GROUP BY bucket, label""")
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
+def predictions(spark: SparkSession, d: str, model: EventModel | None = None) -> DataFrame:
     """Test rows with the class probabilities of the averaged model."""
-    model = count_model.average_parameters(params(spark, d), ["bucket", "label"])
-    return count_model.predict(test_rows(spark, d), model, ["bucket"]).select("row_id", "client_id", "label", "probs")
+    model = model or EventModel(spark, d)
+    return count_model.predict(test_rows(spark, d), model.global_params(), ["bucket"]).select(
+        "row_id", "client_id", "label", "probs"
+    )
 
 
 # The class that wins, its probability for the true class, per test row.
@@ -157,8 +178,9 @@ UNION ALL SELECT evaluator, 'MCC', CASE WHEN d = 0 THEN 0 ELSE (c * s - pt) / sq
 
 def counts(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     """Counted predictions per evaluator, and the class list."""
-    labels = class_list(train_rows(spark, d))
-    return M.add_global(M.class_counts(predictions(spark, d), labels, ["client_id"])), labels
+    model = EventModel(spark, d)
+    scored = M.class_counts(predictions(spark, d, model), model.labels, ["client_id"])
+    return M.add_global(scored), model.labels
 
 
 def regression_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -198,10 +220,14 @@ SELECT client_id, label AS class, n::DOUBLE / nullif(sum(n) OVER (PARTITION BY l
 FROM profile WHERE split = 'train'""")
 
 
-def round_params(spark: SparkSession, d: str) -> DataFrame:
+def round_model(spark: SparkSession, d: str) -> EventModel:
+    return EventModel(spark, d, {"fold": F.col("row_id") % ROUNDS})
+
+
+def round_params(model: EventModel) -> DataFrame:
     """Count models after each of three rounds; in round r a silo has learnt from the row ids with id % 3 < r."""
-    rows = train_rows(spark, d).withColumn("round", F.explode(F.sequence(F.col("row_id") % ROUNDS + 1, F.lit(ROUNDS))))
-    return count_model.fit_per_client(rows, extra=("round",))
+    learnt = model.train.withColumn("round", F.explode(F.sequence((F.col("fold") + 1).cast("int"), F.lit(ROUNDS))))
+    return count_model.fit_per_client(learnt, model.labels, model.buckets, extra=("round",))
 
 
 view("round_numbers", "SELECT unnest([1, 2, 3]) AS round")
@@ -229,6 +255,8 @@ SELECT CAST(mask AS BIGINT) AS mask, client_id FROM player_list,
 def lattice_views(prefix: str, source: str, round_column: str) -> None:
     """Views <prefix>_models, _counts, _utility and _sv over parameters ``source``, per round when there is one."""
     r = f"{round_column}, " if round_column else ""
+    m = f"m.{r}" if r else ""
+    on = f" AND w.{round_column} = m.{round_column}" if r else ""
     view(f"{prefix}_models", f"""
 SELECT {r}mask, bucket, label, sum(n_examples * value) / sum(n_examples) AS value
 FROM {source} JOIN member_table USING (client_id) GROUP BY ALL""")
@@ -237,9 +265,9 @@ SELECT {r}mask, bucket, arg_max(label, (value, -pos)) AS predicted FROM (
   SELECT *, row_number() OVER (PARTITION BY {r}mask, bucket ORDER BY label) AS pos FROM {prefix}_models)
 GROUP BY ALL""")
     view(f"{prefix}_counts", f"""
-SELECT {r}evaluator, mask, t.label, predicted, sum(n) AS n, sum(-n * ln(value)) AS ce
+SELECT {m}evaluator, m.mask, t.label, predicted, sum(n) AS n, sum(-n * ln(value)) AS ce
 FROM test_counts t JOIN {prefix}_models m ON t.bucket = m.bucket AND t.label = m.label
-JOIN {prefix}_winners w USING ({r}mask, bucket) GROUP BY ALL""")
+JOIN {prefix}_winners w ON w.mask = m.mask AND w.bucket = m.bucket{on} GROUP BY ALL""")
     view(f"{prefix}_marginals", f"""
 SELECT {r}evaluator, mask, class, sum(support) AS support, sum(predicted) AS predicted, sum(hits) AS hits FROM (
   SELECT {r}evaluator, mask, label AS class, n AS support, 0 AS predicted,
@@ -274,15 +302,16 @@ lattice_views("rounds", "round_params", "round")
 UTILITY_METRICS = ["CrossEntropyLoss", "Accuracy", "F1ScoreMacro", "MCC", "F1Score"]
 
 
-def round_utility(spark: SparkSession, d: str, metrics: list[str] = UTILITY_METRICS) -> DataFrame:
+def round_utility(model: EventModel, metrics: list[str] = UTILITY_METRICS) -> DataFrame:
     """(round, evaluator, mask, metric, class, value) of every coalition in every round."""
     from silovalue.operators import shapley as S
 
-    fitted = round_params(spark, d)
+    fitted = round_params(model)
     models = count_model.average_parameters(
-        fitted.join(S.coalition_members(fitted.select("client_id")), "client_id"), ["bucket", "label"], ["round", "mask"]
+        fitted.join(S.coalition_members(model.silos), "client_id"), ["bucket", "label"], ["round", "mask"]
     )
-    return S.coalition_utility(models, test_rows(spark, d), metrics, class_list(train_rows(spark, d)), extra=("round",))
+    test = model.test.groupBy("client_id", "bucket", "label").agg(F.sum("n").alias("n"))
+    return S.coalition_utility(models, test, metrics, model.labels, extra=("round",))
 
 
 def round_evaluation(utility: DataFrame) -> DataFrame:
@@ -296,21 +325,19 @@ SELECT round, evaluator, metric, class, value FROM rounds_utility
 WHERE mask = (SELECT max(mask) FROM member_table)""")
 
 
-def round_shapley(spark: SparkSession, d: str, metrics: list[str] = UTILITY_METRICS) -> DataFrame:
+def round_shapley(model: EventModel, utility: DataFrame) -> DataFrame:
     """(round, evaluator, metric, class, client_id, value); the empty coalition is last round's result.
 
     Round 1 starts from the untrained model, whose metrics are 0 and whose cross entropy is that of a uniform guess.
     """
     from silovalue.operators import shapley as S
 
-    utility = round_utility(spark, d, metrics)
-    train = train_rows(spark, d)
     evaluation = round_evaluation(utility)
     later = evaluation.where(F.col("round") < ROUNDS).withColumn("round", F.col("round") + 1)
-    uniform = F.when(F.col("metric") == "CrossEntropyLoss", F.ln(F.size(class_list(train)).cast("double"))).otherwise(0.0)
+    uniform = F.when(F.col("metric") == "CrossEntropyLoss", F.ln(F.size(model.labels).cast("double"))).otherwise(0.0)
     first = evaluation.where(F.col("round") == 1).withColumn("value", uniform)
     keys = ["round", "evaluator", "metric", "class"]
-    return S.shapley_values(utility, train.select("client_id"), first.unionByName(later), keys)
+    return S.shapley_values(utility, model.silos, first.unionByName(later), keys)
 
 
 view("round_empty", """

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_ROWS = 200_000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where nothing is set in tests."""
@@ -28,5 +30,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def control_table(df: DataFrame) -> DataFrame:
+    """Checkpoints an aggregate that later steps read several times (counts, utilities, sums of model size).
+
+    When it is small it becomes one partition, so that its joins and groupings need no shuffle; a larger one keeps its
+    partitions and is shuffled as usual.
+    """
+    table = cut_lineage(df)
+    return table.coalesce(1) if table.count() <= SMALL_ROWS else table
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

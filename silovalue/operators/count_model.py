@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from silovalue.functions.lineage import cut_lineage
+from silovalue.functions.lineage import control_table
 
 MAX_CLASSES = 10_000
 
@@ -35,7 +35,7 @@ def count_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     One scan with a map-side combine; every later step of a valuation works on these counts, so the rows are read once
     however many models, coalitions and evaluators follow.
     """
-    return cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    return control_table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
 
 
 def fit_per_client(

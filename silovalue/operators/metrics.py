@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silovalue.functions import arrays
+from silovalue.functions.lineage import control_table
 
 GLOBAL = "Global"
 EPSILON = 2.220446049250313e-16
@@ -180,7 +181,7 @@ def evaluate(
         return found.select("evaluator", "metric", no_class, "value")
     if labels is None:
         raise ValueError("class metrics need the class list")
-    counts = add_global(class_counts(predictions, labels, [client]), client)
+    counts = control_table(add_global(class_counts(predictions, labels, [client]), client))
     parts = []
     if set(metrics) & set(CLASSIFICATION):
         scalar = classification_metrics(counts, keys, labels).where(F.col("metric").isin(metrics))

@@ -167,9 +167,13 @@ def onehot_encode(
     """
     known = df.withColumn("_known", _fitted(category_lists(fit_on, columns)))
     encoded = {}
+
+    def indicator(names: Column, value: Column) -> Column:
+        return F.transform(names, lambda k: F.when(k == value, F.lit(1.0)).otherwise(F.lit(0.0)))
+
     for c in columns:
         value, names = F.col(c).cast("string"), F.col("_known")[c]
-        flags = F.transform(names, lambda k, v=value: F.when(k == v, F.lit(1.0)).otherwise(F.lit(0.0)))
+        flags = indicator(names, value)
         if strict:
             flags = F.when(F.array_contains(names, value), flags).otherwise(
                 F.raise_error(F.concat(F.lit(f"{c}: unknown category "), value)).cast("array<double>")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silovalue.functions import arrays
+from silovalue.functions.lineage import control_table
 from silovalue.operators import metrics as M
 from silovalue.operators.count_model import average_parameters, distinct_list
 
@@ -85,6 +86,8 @@ def coalition_utility(
 ) -> DataFrame:
     """(evaluator, mask, metric, class, value): every metric of every coalition on every test set, in one job."""
     counts = coalition_counts(models, test_counts, labels, extra)
+    if metric_names != ["CrossEntropyLoss"]:
+        counts = control_table(counts)
     return utilities(counts, metric_names, labels, [*extra, "evaluator", "mask"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from silovalue.functions.hashing import hash_below
+from silovalue.functions.lineage import control_table
 from silovalue.operators import count_model, metrics as M
 from silovalue.plans.catalog import view
 from silovalue.sources.tables import dataset, read_table
@@ -180,7 +181,7 @@ def counts(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     """Counted predictions per evaluator, and the class list."""
     model = EventModel(spark, d)
     scored = M.class_counts(predictions(spark, d, model), model.labels, ["client_id"])
-    return M.add_global(scored), model.labels
+    return control_table(M.add_global(scored)), model.labels
 
 
 def regression_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +312,7 @@ def round_utility(model: EventModel, metrics: list[str] = UTILITY_METRICS) -> Da
         fitted.join(S.coalition_members(model.silos), "client_id"), ["bucket", "label"], ["round", "mask"]
     )
     test = model.test.groupBy("client_id", "bucket", "label").agg(F.sum("n").alias("n"))
-    return S.coalition_utility(models, test, metrics, model.labels, extra=("round",))
+    return control_table(S.coalition_utility(models, test, metrics, model.labels, extra=("round",)))
 
 
 def round_evaluation(utility: DataFrame) -> DataFrame:

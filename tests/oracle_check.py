@@ -79,7 +79,7 @@ def main(argv):
     names = argv[1:] or list(entry.queries())
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -91,7 +91,7 @@ def main(argv):
         try:
             verdict, n = compare(spark, con, runs[name], sql.get(name), d)
         except Exception as e:  # noqa: BLE001
-            verdict, n = f"ERROR {str(e)[:600]}", -1
+            verdict, n = "ERROR " + " ".join(str(e).split("JVM stacktrace")[0].split())[:500], -1
         ok = verdict in ("equal", "near", "rows-only") and n > 0
         failed += not ok
         print(f"{'ok ' if ok else 'BAD'} {name}: {verdict} rows={n} {time.time() - start:.1f}s", flush=True)

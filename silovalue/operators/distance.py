@@ -117,20 +117,19 @@ def gramian(df: DataFrame, features: str = "features") -> DataFrame:
 
     def statistics(_, rows: pd.DataFrame) -> np.ndarray:
         x = np.stack(rows[features].to_numpy())
-        return np.concatenate([[len(x), x.shape[1]], x.sum(axis=0), (x.T @ x).ravel()])
+        return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
     sums = partial_sums(df.select("client_id", features), statistics)
-    both = with_global_silo(sums).groupBy("client_id", "pos").agg(
-        F.when(F.col("pos") == 1, F.max("value")).otherwise(F.sum("value")).alias("value")
-    )
+    both = with_global_silo(sums).groupBy("client_id", "pos").agg(F.sum("value").alias("value"))
     listed = both.groupBy("client_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("v")
     )
-    d = F.element_at("v", 2).cast("int")
+    # The vector holds 1 + d + d² numbers.
+    d = F.round((F.sqrt(4 * F.size("v") - F.lit(3.0)) - 1) / 2).cast("int")
     return control_table(listed.select(
         "client_id", F.element_at("v", 1).cast("bigint").alias("n"),
-        F.transform(F.slice("v", F.lit(3), d), lambda s: s / F.element_at("v", 1)).alias("means"),
-        F.slice("v", d + 3, d * d).alias("second"),
+        F.transform(F.slice("v", F.lit(2), d), lambda s: s / F.element_at("v", 1)).alias("means"),
+        F.slice("v", d + 2, d * d).alias("second"),
     ))
 
 
@@ -188,17 +187,7 @@ def pca_transform(
         one = packed.where(F.col("client_id") == basis).select(F.struct("_parts", "_means", "_scales").alias("m"))
         joined = df.withColumn("_m", one.scalar()).select("*", "_m.*").drop("_m")
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = [None] * len(batch)
-            x = batch[features].to_numpy()
-            for i, (parts, means, scales) in enumerate(zip(batch["_parts"], batch["_means"], batch["_scales"])):
-                loadings = np.stack([np.asarray(p["loadings"]) for p in parts])
-                scores[i] = loadings @ ((x[i] - means) / scales)
-            yield batch[keep].assign(scores=scores)
-
     keep = df.columns
-    del project
     centred = F.zip_with(F.zip_with(F.col(features), F.col("_means"), lambda a, b: a - b), F.col("_scales"), lambda a, s: a / s)
     scored = joined.withColumn("_z", centred).withColumn(
         "scores", F.transform("_parts", lambda p: arrays.dot(p["loadings"], F.col("_z")))
@@ -274,10 +263,8 @@ def cube_compress(df: DataFrame, omega: float = 0.1, features: str = "features")
     placed = rows.join(lows, "client_id").select(
         "client_id", F.zip_with(features, "_low", lambda x, m: F.floor((x - m) / omega)).alias("cell"), features
     )
-    d = F.size(features)
     long = placed.select("client_id", "cell", F.posexplode(features).alias("i", "x"))
     means = long.groupBy("client_id", "cell", "i").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    del d
     return means.groupBy("client_id", "cell").agg(
         F.max("n").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center"),
@@ -446,8 +433,8 @@ def gaussian_mmd_rff(
     return pair_up(packed, ["z"]).select("src", "tgt", (gap / (2 * len(frequencies))).alias("value"))
 
 
-BLOCK_ROWS = 2048
-TILE_BLOCKS = 4
+BLOCK_ROWS = 1024
+TILE_BLOCKS = 16
 
 
 def gaussian_mmd(
@@ -470,19 +457,18 @@ def gaussian_mmd(
     spots = [F.floor(arrays.dot(F.col(features), arrays.literal(c)) / reach).cast("bigint") for c in components]
     placed = df.select(F.col("client_id").cast("string").alias("c"), id_col, features, F.array(*spots).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    block = F.pmod(F.xxhash64(id_col), F.ceil(F.col("rows") / (BLOCK_ROWS // 2)))
+    block = F.pmod(F.xxhash64(id_col), F.ceil(F.col("rows") / BLOCK_ROWS))
     blocks = placed.join(sizes, "cell").withColumn("block", block).withColumn(
-        "tiles", F.ceil(F.col("rows") / (BLOCK_ROWS // 2) / TILE_BLOCKS)
+        "tiles", F.ceil(F.col("rows") / BLOCK_ROWS / TILE_BLOCKS)
     ).groupBy("cell", "block", "tiles").agg(F.collect_list(F.struct("c", features)).alias("rows"))
     blocks = blocks.withColumn("tile", F.pmod("block", "tiles"))
-    steps = F.lit(None)
     around = [[]]
     for _ in components:
         around = [a + [s] for a in around for s in (-1, 0, 1)]
     steps = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in a]) for a in around])
     near = F.explode(steps).alias("step")
     # A block meets every tile of each neighbouring cell: it is copied once per tile of the other side.
-    tiles = sizes.select(F.col("cell").alias("other"), F.ceil(F.col("rows") / (BLOCK_ROWS // 2) / TILE_BLOCKS).alias("tiles_o"))
+    tiles = sizes.select(F.col("cell").alias("other"), F.ceil(F.col("rows") / BLOCK_ROWS / TILE_BLOCKS).alias("tiles_o"))
     left = blocks.select("cell", F.col("rows").alias("a"), "tile", near).select(
         "a", F.col("tile").alias("ta"), F.col("cell").alias("ca"), F.zip_with("cell", "step", lambda x, s: x + s).alias("other")
     ).join(tiles, "other").withColumn("tb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles_o") - 1))).drop("tiles_o")

@@ -132,8 +132,8 @@ class Step:
 def gradient_step(df: DataFrame, models: Models, loss: str = "CE") -> Step:
     step = Step()
     for key, v in _collect_vectors(gradient_sums(df, models, loss)).items():
-        step.rows[key] = v[0]
-        step.loss[key] = v[1] / v[0]
+        step.rows[key] = float(v[0])
+        step.loss[key] = float(v[1] / v[0])
         step.gradient[key] = (v[2:] / v[0]).reshape(models[key].shape)
     return step
 

@@ -75,9 +75,15 @@ def _fitted(stats: DataFrame) -> Column:
     return stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns])).scalar()
 
 
+def _number(column: str) -> Column:
+    """The column as a double in which NaN counts as missing."""
+    c = F.col(column).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def impute_mean(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFrame:
-    means = _fitted(fit_on.agg(*[F.avg(c).alias(c) for c in columns]))
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), means[c]) for c in columns})
+    means = _fitted(fit_on.agg(*[F.avg(_number(c)).alias(c) for c in columns]))
+    return df.withColumns({c: F.coalesce(_number(c), means[c]) for c in columns})
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,10 +103,13 @@ def impute_mode(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFra
 
 
 def minmax_scale(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - min) / (max - min) with bounds of ``fit_on``, not clipped; a constant column becomes x - min."""
+    """(x - min) / (max - min) with bounds of ``fit_on``, not clipped; a constant column becomes x - min.
+
+    NaN is ignored while fitting and stays NaN.
+    """
     bounds = _fitted(fit_on.agg(
-        *[F.min(c).cast("double").alias(f"{c}_min") for c in columns],
-        *[F.max(c).cast("double").alias(f"{c}_max") for c in columns],
+        *[F.min(_number(c)).alias(f"{c}_min") for c in columns],
+        *[F.max(_number(c)).alias(f"{c}_max") for c in columns],
     ))
     scaled = {}
     for c in columns:
@@ -113,7 +122,8 @@ def minmax_scale(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFr
 def standardize(df: DataFrame, fit_on: DataFrame, columns: list[str]) -> DataFrame:
     """Mean 0 and population standard deviation 1; a constant column becomes 0."""
     stats = _fitted(fit_on.agg(
-        *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}_std") for c in columns]
+        *[F.avg(_number(c)).alias(f"{c}_mean") for c in columns],
+        *[F.stddev_pop(_number(c)).alias(f"{c}_std") for c in columns],
     ))
     return df.withColumns({
         c: (F.col(c) - stats[f"{c}_mean"])

@@ -83,12 +83,35 @@ def federation(spark, d, rounds=3, local_steps=1):
     return rows, T.federated_rounds(rows, rounds, rate=2.0, local_steps=local_steps, decay=0.9, decay_steps=10)
 
 
-@query("gradient_reward_totals")
+@query("gradient_reward_totals", """
+WITH grads AS (SELECT round, client_id, class * 65 + i AS pos, avg((0.1::DOUBLE - CASE WHEN label = class THEN 1 ELSE 0 END) * x) AS value
+  FROM (SELECT round, client_id, label, unnest(list_append(features, 1.0::DOUBLE)) AS x, unnest(range(65)) AS i
+        FROM vector_train JOIN round_numbers ON row_id % 3 < round)
+  CROSS JOIN (SELECT unnest(range(10)) AS class) GROUP BY ALL),
+norms AS (SELECT round, client_id, sqrt(sum(value * value)) AS norm FROM grads GROUP BY ALL),
+unit AS (SELECT round, client_id, pos, CASE WHEN norm = 0 THEN 0 ELSE value / norm END AS value FROM grads JOIN norms USING (round, client_id)),
+pooled AS (SELECT round, pos, sum(n * value) AS p FROM unit JOIN vector_sizes USING (client_id) GROUP BY ALL),
+rewards AS (SELECT round, client_id, sum(value * p) / sqrt(sum(value * value) * sum(p * p)) AS value FROM unit JOIN pooled USING (round, pos) GROUP BY ALL)
+SELECT client_id, round(sum(value), 6) AS value FROM rewards GROUP BY client_id""")
 def gradient_reward_totals(spark, d):
+    """Three rounds in which the silos' training rows grow, each at the untrained model."""
+    rows = cut_lineage(trained(spark, d).select("row_id", "client_id", "features", "target"))
+    silos, k, width = T.shape_of(rows)
+    models = T.zero_models(silos, k, width)
+    parts = [
+        T.loss_gradient(rows.where(F.col("row_id") % 3 < r), models).withColumn("round", F.lit(r)) for r in (1, 2, 3)
+    ]
+    gradients = cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    sizes = rows.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(G.gradient_reward_totals(G.gradient_reward(gradients, sizes, ["pos"], by=("round",))))
+
+
+@query("federated_rewards")
+def federated_rewards(spark, d):
+    """Rewards of each round of a federated run, from the gradients at the shared model of that round."""
     rows, run = federation(spark, d)
     sizes = rows.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
-    found = G.gradient_reward(T.gradient_table(run, rows), sizes, ["pos"], by=("round",))
-    return rounded(G.gradient_reward_totals(found))
+    return rounded(G.gradient_reward(T.gradient_table(run, rows), sizes, ["pos"], by=("round",)))
 
 
 @query("federated_rounds")
@@ -152,7 +175,8 @@ def fit_central(spark, d):
     return rounded(scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")))
 
 
-@query("fit_central_linear")
+@query("fit_central_linear", """
+SELECT round(regr_slope(b, a), 4) AS slope, round(regr_intercept(b, a), 4) AS intercept FROM silo_lines""")
 def fit_central_linear(spark, d):
     lines = fx.silo_lines(spark, d)
     rows = lines.select(F.array("a").alias("features"), F.col("b").alias("label"))

@@ -5,9 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-SMALL_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,14 +28,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _single(table: DataFrame) -> bool:
+    """Adaptive execution leaves a checkpointed aggregate in one partition only if it measured it as small."""
+    return table.rdd.getNumPartitions() == 1
+
+
 def control_table(df: DataFrame) -> DataFrame:
     """Checkpoints an aggregate that later steps read several times (counts, utilities, sums of model size).
 
-    When it is small it becomes one partition, so that its joins and groupings need no shuffle; a larger one keeps its
-    partitions and is shuffled as usual.
+    A small one lies in one partition and is declared so: its joins and groupings then need no shuffle. A larger one
+    keeps its partitions and is shuffled as usual.
+    """
+    table = cut_lineage(df)
+    return table.coalesce(1) if _single(table) else table
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The side of a join that should be small: sizes, bounds, model parameters of a silo.
+
+    It is checkpointed and measured. One small partition is broadcast, so that the rows of the other side are not
+    shuffled by a key that may be skewed; anything larger stays an ordinary join side.
     """
     table = cut_lineage(df)
-    return table.coalesce(1) if table.count() <= SMALL_ROWS else table
+    return F.broadcast(table.coalesce(1)) if _single(table) else table
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

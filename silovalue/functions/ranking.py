@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from silovalue.functions.hashing import row_hash
 
 HASH_DIGITS = 4
+ROWS_PER_BUCKET = 4_000_000
+MAX_BUCKETS = 16_384
 
 
 def _offsets(df: DataFrame, group: list[str], weight: Column) -> DataFrame:
@@ -39,10 +41,20 @@ def hash_rank(
 
 
 def quantile_bounds(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
-    """Bucket borders per column that follow the data; at most ``buckets`` numbers per column reach the driver."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probabilities, 20 * buckets).alias(c) for c in columns])
-    found = row.first()
+    """Bucket borders per column that follow the data; at most 16,384 numbers per column reach the driver.
+
+    A large table gets more buckets, so that a bucket stays within what one task sorts.
+    """
+    def fit(count: int):
+        probabilities = [i / count for i in range(1, count)]
+        return df.agg(F.count(F.lit(1)).alias("_rows"), *[
+            F.percentile_approx(F.col(c).cast("double"), probabilities, 20 * count).alias(c) for c in columns
+        ]).first()
+
+    found = fit(buckets)
+    wanted = min(found["_rows"] // ROWS_PER_BUCKET, MAX_BUCKETS)
+    if wanted > buckets:
+        found = fit(wanted)
     return [sorted(set(found[c] or [])) for c in columns]
 
 
@@ -58,9 +70,14 @@ def quantile_bucket(df: DataFrame, columns: list[str], names: list[str], buckets
     return bucketizer.transform(typed).drop(*[f"_d_{n}" for n in names])
 
 
-def ordered_rank(df: DataFrame, group: list[str], key: str, name: str = "rank", buckets: int = 256) -> DataFrame:
-    """Adds the 0-based rank of each row by a unique numeric key inside its group."""
-    bucketed = quantile_bucket(df, [key], ["_bucket"], buckets)
+def ordered_rank(
+    df: DataFrame, group: list[str], key: str, name: str = "rank", bucket: str | None = None
+) -> DataFrame:
+    """Adds the 0-based rank of each row by a unique numeric key inside its group.
+
+    ``bucket`` is an order-preserving bucket column; without it quantile buckets of the key are made.
+    """
+    bucketed = df.withColumnRenamed(bucket, "_bucket") if bucket else quantile_bucket(df, [key], ["_bucket"])
     if not group:
         bucketed = bucketed.withColumn("_all", F.lit(0))
     keys = group or ["_all"]

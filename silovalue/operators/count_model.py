@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from silovalue.functions.lineage import control_table
+from silovalue.functions.lineage import control_table, small_side
 
 MAX_CLASSES = 10_000
+CELL_LIMIT = 200_000
 
 
 def distinct_list(df: DataFrame, column: str, limit: int = MAX_CLASSES) -> DataFrame:
@@ -29,6 +30,20 @@ def literal_list(df: DataFrame, column: str, limit: int = MAX_CLASSES) -> Column
     return F.array(*[F.lit(v) for v in sorted(r.v for r in rows)])
 
 
+def literal_lists(df: DataFrame, columns: list[str], limit: int = MAX_CLASSES) -> list[Column]:
+    """The sorted distinct values of several columns of a counted table as array literals, in one action.
+
+    The sets are taken over a bounded number of cells; a larger table is asked column by column.
+    """
+    cells = df.select(*columns).limit(CELL_LIMIT + 1)
+    found = cells.agg(F.count(F.lit(1)).alias("_n"), *[F.collect_set(c).alias(c) for c in columns]).first()
+    if found["_n"] > CELL_LIMIT:
+        return [literal_list(df, c, limit) for c in columns]
+    if any(len(found[c]) > limit for c in columns):
+        raise ValueError(f"more than {limit} values in one of {columns}")
+    return [F.array(*[F.lit(v) for v in sorted(found[c])]) for c in columns]
+
+
 def count_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n) as a checkpointed table.
 
@@ -71,4 +86,4 @@ def predict(rows: DataFrame, params: DataFrame, keys: list[str], label: str = "l
     vectors = params.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(label, "value"))), lambda s: s["value"]).alias("probs")
     )
-    return rows.join(vectors, keys)
+    return rows.join(small_side(vectors), keys)

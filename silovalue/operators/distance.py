@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from silovalue.functions import arrays
 from silovalue.functions.hashing import fold
-from silovalue.functions.lineage import control_table
-from silovalue.functions.ranking import cumulative_counts, ordered_rank, quantile_bounds
+from silovalue.functions.lineage import control_table, small_side
+from silovalue.functions.ranking import cumulative_counts, ordered_rank, quantile_bounds, quantile_bucket
 from silovalue.operators.count_model import distinct_list
 from silovalue.operators.fit import partial_sums
 from silovalue.operators.metrics import GLOBAL
@@ -79,9 +79,9 @@ def negative_conditional_entropy(df: DataFrame, order: str = "row_id", label: st
     Pairing stops at the shorter side; the joint is divided by the rows of the source. A row of the source meets at most
     one row of each target, by an equi-join on the position. y runs over classes up to the largest one of the target.
     """
-    own = df.select("client_id", order, label)
-    local = ordered_rank(own, ["client_id"], order, "_pos").withColumn("client_id", F.col("client_id").cast("string"))
-    pooled = ordered_rank(own, [], order, "_pos").withColumn("client_id", F.lit(GLOBAL))
+    own = quantile_bucket(df.select("client_id", order, label), [order], ["_place"])
+    local = ordered_rank(own, ["client_id"], order, "_pos", "_place").withColumn("client_id", F.col("client_id").cast("string"))
+    pooled = ordered_rank(own, [], order, "_pos", "_place").withColumn("client_id", F.lit(GLOBAL))
     source = local.select(F.col("client_id").alias("src"), "_pos", F.col(label).alias("z"))
     target = local.unionByName(pooled.select(*local.columns)).select(
         F.col("client_id").alias("tgt"), "_pos", F.col(label).alias("y")
@@ -181,7 +181,7 @@ def pca_transform(
         F.first("means").alias("_means"), F.first("scales").alias("_scales"),
     )
     if basis is None:
-        named = packed.withColumnRenamed("client_id", "_silo")
+        named = small_side(packed.withColumnRenamed("client_id", "_silo"))
         joined = df.join(named, F.col("client_id").cast("string") == F.col("_silo")).drop("_silo")
     else:
         one = packed.where(F.col("client_id") == basis).select(F.struct("_parts", "_means", "_scales").alias("m"))
@@ -250,24 +250,18 @@ def _volumes(moments: DataFrame) -> DataFrame:
 def cube_compress(df: DataFrame, omega: float = 0.1, features: str = "features") -> DataFrame:
     """(client_id, cell, n, center): mean row and row count of every grid cell of every silo and of Global.
 
-    Cells start at the silo's own minimum in each dimension. Two aggregations; the second combines on the map side, so a
-    crowded cell is never gathered row by row.
+    Cells start at the silo's own minimum in each dimension. Both aggregations combine on the map side, so a crowded cell
+    is never gathered row by row.
     """
     rows = with_global_silo(df.select("client_id", features))
-    ends = rows.select("client_id", F.posexplode(features).alias("i", "x")).groupBy("client_id", "i").agg(
-        F.min("x").alias("low")
-    )
-    lows = control_table(ends.groupBy("client_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "low"))), lambda s: s["low"]).alias("_low")
-    ))
+    width = df.select(F.size(features)).first()[0]
+    at = [F.element_at(features, i + 1) for i in range(width)]
+    lows = small_side(rows.groupBy("client_id").agg(F.array(*[F.min(x) for x in at]).alias("_low")))
     placed = rows.join(lows, "client_id").select(
         "client_id", F.zip_with(features, "_low", lambda x, m: F.floor((x - m) / omega)).alias("cell"), features
     )
-    long = placed.select("client_id", "cell", F.posexplode(features).alias("i", "x"))
-    means = long.groupBy("client_id", "cell", "i").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    return means.groupBy("client_id", "cell").agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center"),
+    return placed.groupBy("client_id", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(x) for x in at]).alias("center")
     )
 
 
@@ -396,7 +390,7 @@ def wasserstein_sliced(
     ranked = cumulative_counts(long, ["client_id", "dir"], "value", "bucket")
     sizes = rows.groupBy("client_id").agg(F.count(F.lit(1)).alias("rows"))
     # Grid point q (0 … grid-1) reads the value whose rank interval holds ceil((q + 0.5) / grid · rows).
-    sized = ranked.join(sizes, "client_id")
+    sized = ranked.join(small_side(sizes), "client_id")
     place = lambda upto: F.floor(upto * grid / F.col("rows") - 0.5)
     first, last = place(F.col("upto") - F.col("n")) + 1, place(F.col("upto"))
     picked = sized.where(last >= first).select(
@@ -458,7 +452,7 @@ def gaussian_mmd(
     placed = df.select(F.col("client_id").cast("string").alias("c"), id_col, features, F.array(*spots).alias("cell"))
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
     block = F.pmod(F.xxhash64(id_col), F.ceil(F.col("rows") / BLOCK_ROWS))
-    blocks = placed.join(sizes, "cell").withColumn("block", block).withColumn(
+    blocks = placed.join(small_side(sizes), "cell").withColumn("block", block).withColumn(
         "tiles", F.ceil(F.col("rows") / BLOCK_ROWS / TILE_BLOCKS)
     ).groupBy("cell", "block", "tiles").agg(F.collect_list(F.struct("c", features)).alias("rows"))
     blocks = blocks.withColumn("tile", F.pmod("block", "tiles"))
@@ -535,7 +529,7 @@ def quantized(df: DataFrame, points: int, features: str = "features", seed: int
     ))
     small = sizes.where(F.col("rows") <= points)
     rows = with_global_silo(df.select("client_id", features))
-    raw = rows.join(small.select("client_id"), "client_id", "left_semi").select(
+    raw = rows.join(F.broadcast(small.select("client_id")), "client_id", "left_semi").select(
         "client_id", F.struct(F.lit(1.0).alias("w"), F.col(features).alias("x")).alias("atom")
     )
     if sizes.where(F.col("rows") > points).isEmpty():

@@ -130,11 +130,23 @@ def classification_metrics(counts: DataFrame, keys: list[str], labels: Column) -
 
 
 def regression_counts(predictions: DataFrame, keys: list[str], y: str = "y", y_hat: str = "y_hat") -> DataFrame:
-    """(keys, n, sse, sae, sst): one pass; the total sum of squares comes from the stable variance aggregate."""
+    """(keys, n, sse, sae, mean, sst): one pass; the total sum of squares comes from the stable variance aggregate."""
     error = F.col(y) - F.col(y_hat)
     return predictions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(error * error).alias("sse"), F.sum(F.abs(error)).alias("sae"),
-        (F.var_pop(y) * F.count(F.lit(1))).alias("sst"),
+        F.avg(y).alias("mean"), (F.var_pop(y) * F.count(F.lit(1))).alias("sst"),
+    )
+
+
+def add_global_regression(counts: DataFrame, client: str = "client_id") -> DataFrame:
+    """Adds the Global evaluator from the silos' sums; its total sum of squares is that within plus that between."""
+    n, mean = F.col("n"), F.col("mean")
+    between = F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / F.sum("n")
+    single = F.count(F.lit(1)) == 1
+    return with_global(counts, client).groupBy("evaluator").agg(
+        F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("sae").alias("sae"),
+        (F.sum(n * mean) / F.sum("n")).alias("mean"),
+        (F.sum("sst") + F.when(single, F.lit(0.0)).otherwise(F.greatest(between, F.lit(0.0)))).alias("sst"),
     )
 
 
@@ -176,7 +188,7 @@ def evaluate(
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     keys, no_class = ["evaluator"], F.lit(None).cast("string").alias("class")
     if "probs" not in predictions.columns:
-        counts = regression_counts(with_global(predictions, client), keys)
+        counts = add_global_regression(regression_counts(predictions, [client]), client)
         found = regression_metrics(counts, keys).where(F.col("metric").isin(metrics))
         return found.select("evaluator", "metric", no_class, "value")
     if labels is None:

@@ -6,12 +6,15 @@ silo owns a range of ranks; no row is drawn twice and nothing row-sized is sorte
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from silovalue.functions.hashing import row_hash
+from silovalue.functions.lineage import cut_lineage, small_side
 from silovalue.functions.ranking import hash_rank
 from silovalue.operators.count_model import distinct_list
 from silovalue.sources.tables import sink_partition
@@ -193,7 +196,7 @@ def sample_by_quota(df: DataFrame, quota: DataFrame, seed: int, id_col: str = "r
     )
     ranked = hash_rank(df, ["split", "label"], id_col, seed, name="_rank")
     found = F.filter(F.col("_ranges"), lambda r: F.col("_rank") < r["upto"])
-    return ranked.join(lists, ["split", "label"]).where(
+    return ranked.join(small_side(lists), ["split", "label"]).where(
         F.col("_rank") < F.element_at("_ranges", -1)["upto"]
     ).withColumn("client_id", F.element_at(found, 1)["client_id"]).drop("_rank", "_ranges")
 
@@ -224,7 +227,7 @@ def partition_random(df: DataFrame, n_clients: int, seed: int, id_col: str = "ro
     group = ["split"] if "split" in df.columns else []
     ranked = hash_rank(df, group, id_col, seed, name="_rank")
     sizes = df.groupBy(*group).agg(F.floor(F.count(F.lit(1)) / n_clients).alias("_each"))
-    sized = ranked.join(sizes, group) if group else ranked.withColumn("_each", sizes.scalar())
+    sized = ranked.join(small_side(sizes), group) if group else ranked.withColumn("_each", sizes.scalar())
     return sized.where(F.col("_rank") < F.col("_each") * n_clients).withColumn(
         "client_id", F.floor(F.col("_rank") / F.col("_each")).cast("bigint")
     ).drop("_rank", "_each")
@@ -252,7 +255,7 @@ def partition_feature_slices(
         return sliced.withColumn("client_id", F.col("_slice").cast("bigint")).drop("_slice")
     group = ["_slice", "split"] if "split" in df.columns else ["_slice"]
     sizes = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = hash_rank(sliced, group, id_col, seed, name="_rank").join(sizes, group)
+    ranked = hash_rank(sliced, group, id_col, seed, name="_rank").join(small_side(sizes), group)
     part = _part(F.col("_rank"), F.col("_size"), parts)
     return ranked.withColumn("client_id", (F.col("_slice") * parts + part).cast("bigint")).drop("_slice", "_rank", "_size")
 
@@ -295,28 +298,33 @@ def partition_maverick_category(
 
 
 def partition_feature_clusters(
-    df: DataFrame, k: int, seed: int = 1, features: str = "features", label: str = "label", max_iter: int = 20
+    df: DataFrame, k: int, seed: int = 1, features: str = "features", label: str = "label", max_iter: int = 20,
+    parallelism: int = 4,
 ) -> DataFrame:
     """k-means inside every class; the cluster number is the silo.
 
-    One fit per class on Spark ML. The centres (classes × k vectors) are the only data on the driver; all rows are
+    One fit per class on Spark ML, a few of them side by side. The centres (classes × k vectors) are the only data on the driver; all rows are
     assigned in one pass by their distance to the k centres of their class.
     """
     spark: SparkSession = df.sparkSession
-    vectors = df.select(label, array_to_vector(F.col(features)).alias("_v"))
+    vectors = cut_lineage(df.select(label, array_to_vector(F.col(features)).alias("_v")))
     classes = sorted(r[0] for r in df.select(label).distinct().limit(10_001).collect())
     if len(classes) > 10_000:
         raise ValueError("too many classes to cluster one by one")
-    centres = []
-    for value in classes:
-        model = KMeans(featuresCol="_v", k=k, seed=seed, maxIter=max_iter).fit(vectors.where(F.col(label) == value))
-        centres.append((value, [[float(x) for x in c] for c in model.clusterCenters()]))
+
+    def fit(value):
+        estimator = KMeans(featuresCol="_v", k=k, seed=seed, maxIter=max_iter, initMode="random")
+        model = estimator.fit(vectors.where(F.col(label) == value))
+        return value, [[float(x) for x in c] for c in model.clusterCenters()]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        centres = list(pool.map(fit, classes))
     table = spark.createDataFrame(centres, f"{label} {dict(df.dtypes)[label]}, _centres array<array<double>>")
     distance = lambda c: F.aggregate(
         F.zip_with(F.col(features), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
     )
     gaps = F.transform(F.col("_centres"), distance)
-    return df.join(table, label).withColumn("_gaps", gaps).withColumn(
+    return df.join(small_side(table), label).withColumn("_gaps", gaps).withColumn(
         "client_id", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("bigint")
     ).drop("_centres", "_gaps")
 

@@ -248,10 +248,10 @@ def bool_to_int(df: DataFrame) -> DataFrame:
 
 def assign_row_ids(train: DataFrame, test: DataFrame, key: str, name: str = "row_id") -> DataFrame:
     """Consecutive ids in key order; test ids go on after the last train id."""
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     n_train = train.agg(F.count(F.lit(1))).scalar()
-    first = ordered_rank(train, [], key, name).withColumn("split", F.lit("train"))
-    second = ordered_rank(test, [], key, name).withColumn("split", F.lit("test"))
-    return first.unionByName(second.withColumn(name, F.col(name) + n_train))
+    ranked = ordered_rank(both, ["split"], key, name)
+    return ranked.withColumn(name, F.col(name) + F.when(F.col("split") == "test", n_train).otherwise(F.lit(0)))
 
 
 def train_test_split(df: DataFrame, seed: int, id_col: str = "row_id", test_share: float = 0.3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from silovalue.functions.hashing import hash_below
-from silovalue.functions.lineage import control_table
+from silovalue.functions.lineage import control_table, small_side
 from silovalue.operators import count_model, metrics as M
 from silovalue.plans.catalog import view
 from silovalue.sources.tables import dataset, read_table
@@ -104,8 +104,7 @@ class EventModel:
         self.counts = count_model.count_rows(rows, ["client_id", "split", "bucket", "label", *extra])
         self.train = self.counts.where(F.col("split") == "train")
         self.test = self.counts.where(F.col("split") == "test")
-        self.labels = count_model.literal_list(self.train, "label")
-        self.buckets = count_model.literal_list(self.train, "bucket")
+        self.labels, self.buckets = count_model.literal_lists(self.train, ["label", "bucket"])
         self.silos = self.train.select("client_id").distinct()
 
     def params(self) -> DataFrame:
@@ -187,7 +186,7 @@ def counts(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
 def regression_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Order price against the mean price of its priority class."""
     rows = silo_orders(spark, d)
-    means = rows.groupBy("o_orderpriority").agg(F.avg("y").alias("y_hat"))
+    means = small_side(rows.groupBy("o_orderpriority").agg(F.avg("y").alias("y_hat")))
     return rows.join(means, "o_orderpriority").select("row_id", "client_id", "y", "y_hat")
 
 
@@ -199,7 +198,7 @@ UNION ALL SELECT 'Global', y, y_hat FROM regression_predictions""")
 
 
 def regression_counts(spark: SparkSession, d: str) -> DataFrame:
-    return M.regression_counts(M.with_global(regression_predictions(spark, d)), ["evaluator"])
+    return M.add_global_regression(M.regression_counts(regression_predictions(spark, d), ["client_id"]))
 
 
 def profile(spark: SparkSession, d: str) -> DataFrame:

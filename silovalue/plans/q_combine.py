@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from silovalue.functions.lineage import control_table
+from silovalue.functions.lineage import control_table, small_side
 from silovalue.operators import combine as A, count_model, metrics as M, shapley as S
 from silovalue.operators.partition import partition_profile
 from silovalue.plans import fixtures as fx
@@ -164,7 +164,7 @@ def ensemble_average(spark, d):
     """The average over models depends on the bucket only, so models are averaged before they meet the rows."""
     means = A.ensemble_average(_trees(fx.round_model(spark, d)), ["bucket", "class"])
     rows = fx.test_rows(spark, d).select("row_id", "bucket")
-    return rounded(rows.join(means, "bucket").select("row_id", "class", "score"))
+    return rounded(rows.join(small_side(means), "bucket").select("row_id", "class", "score"))
 
 
 view("silo_outputs", """
@@ -186,7 +186,7 @@ def ensemble_evaluate(spark, d):
     vectors = model.params().groupBy("bucket", "client_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("label", "value"))), lambda s: s["value"]).alias("v")
     ).groupBy("bucket").agg(*[F.max(F.when(F.col("client_id") == s, F.col("v"))).alias(f"m{s}") for s in silos])
-    rows = fx.test_rows(spark, d).join(vectors, "bucket")
+    rows = fx.test_rows(spark, d).join(small_side(vectors), "bucket")
     return rounded(A.ensemble_evaluate(rows, [f"m{s}" for s in silos], model.labels, ["client_id"]))
 
 

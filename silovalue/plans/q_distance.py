@@ -87,10 +87,10 @@ SELECT silo, CAST(floor((a - la) / 0.1) AS BIGINT) AS ca, CAST(floor((b - lb) /
 
 
 @query("cube_compress", """
-SELECT silo AS client_id, [ca, cb] AS cell, n, [round(ma, 6), round(mb, 6)] AS center FROM line_cells""")
+SELECT silo AS client_id, [ca, cb] AS cell, n, [round(ma * n, 4), round(mb * n, 4)] AS total FROM line_cells""")
 def cube_compress(spark, d):
     cells = X.cube_compress(line_features(spark, d))
-    return cells.withColumn("center", F.transform("center", lambda x: F.round(x, 6)))
+    return cells.select("client_id", "cell", "n", F.transform("center", lambda x: F.round(x * F.col("n"), 4)).alias("total"))
 
 
 @query("robust_volume", """

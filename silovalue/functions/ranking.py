@@ -6,12 +6,14 @@ order; bucket totals give every bucket its starting offset, and only rows of one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from silovalue.functions.hashing import row_hash
 
-HASH_DIGITS = 4
+BUCKETS_PER_PARTITION = 64
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 16_384
 
@@ -23,12 +25,16 @@ def _offsets(df: DataFrame, group: list[str], weight: Column) -> DataFrame:
 
 
 def hash_rank(
-    df: DataFrame, group: list[str], id_col: str, seed: int, name: str = "rank", digits: int = HASH_DIGITS
+    df: DataFrame, group: list[str], id_col: str, seed: int, name: str = "rank", digits: int | None = None
 ) -> DataFrame:
     """Adds the 0-based random rank of each row in its group, ordered by (hash, id).
 
     Rows are bucketed by the first hash digits, so a bucket holds a 16^-digits share of its group however the ids lie.
+    By default there are at least 64 buckets per shuffle partition of the session.
     """
+    if digits is None:
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        digits = max(2, math.ceil(math.log(BUCKETS_PER_PARTITION * width, 16)))
     hashed = df.withColumn("_hash", row_hash(seed, id_col)).withColumn("_bucket", F.substring("_hash", 1, digits))
     group = group or ["_all"]
     if group == ["_all"]:
@@ -67,7 +73,8 @@ def quantile_bucket(df: DataFrame, columns: list[str], names: list[str], buckets
         outputCols=names,
         splitsArray=[[-float("inf"), *b, float("inf")] if b else [-float("inf"), 0.0, float("inf")] for b in inner],
     )
-    return bucketizer.transform(typed).drop(*[f"_d_{n}" for n in names])
+    whole = {n: F.col(n).cast("int") for n in names}
+    return bucketizer.transform(typed).withColumns(whole).drop(*[f"_d_{n}" for n in names])
 
 
 def ordered_rank(

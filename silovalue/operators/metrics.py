@@ -60,20 +60,24 @@ def accuracy(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg((_hits() / F.sum("n")).alias("value"))
 
 
-def class_marginals(counts: DataFrame, keys: list[str], labels: Column) -> DataFrame:
-    """(keys, class, support, predicted, hits) for every class of the fixed list."""
+def class_marginals(counts: DataFrame, keys: list[str], labels: Column | None = None) -> DataFrame:
+    """(keys, class, support, predicted, hits, ce) per class; with a class list also for classes that do not occur."""
     zero = F.lit(0).cast("bigint")
     same = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(zero)
     sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), zero.alias("predicted"), same.alias("hits")),
-        F.struct(F.col("predicted").alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("hits")),
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), zero.alias("predicted"), same.alias("hits"), "ce"),
+        F.struct(F.col("predicted").alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("hits"),
+                 F.lit(0.0).alias("ce")),
     )
     seen = counts.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
-    every = counts.select(*keys).distinct().select(
-        *keys, F.explode(labels).alias("class"), zero.alias("support"), zero.alias("predicted"), zero.alias("hits")
-    )
-    return seen.unionByName(every).groupBy(*keys, "class").agg(
-        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits")
+    if labels is not None:
+        seen = seen.unionByName(counts.select(*keys).distinct().select(
+            *keys, F.explode(labels).alias("class"), zero.alias("support"), zero.alias("predicted"), zero.alias("hits"),
+            F.lit(0.0).alias("ce"),
+        ))
+    return seen.groupBy(*keys, "class").agg(
+        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"),
+        F.sum("ce").alias("ce"),
     )
 
 
@@ -93,11 +97,12 @@ def f1_micro(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def f1_macro(counts: DataFrame, keys: list[str], labels: Column) -> DataFrame:
-    return f1_per_class(counts, keys, labels).groupBy(*keys).agg(F.avg("value").alias("value"))
+    """Unweighted mean over the class list; a class that does not occur counts as 0."""
+    return class_marginals(counts, keys).groupBy(*keys).agg((F.sum(_f1()) / F.size(labels)).alias("value"))
 
 
-def f1_weighted(counts: DataFrame, keys: list[str], labels: Column) -> DataFrame:
-    return class_marginals(counts, keys, labels).groupBy(*keys).agg(
+def f1_weighted(counts: DataFrame, keys: list[str]) -> DataFrame:
+    return class_marginals(counts, keys).groupBy(*keys).agg(
         (F.sum(F.col("support") * _f1()) / F.sum("support")).alias("value")
     )
 
@@ -110,22 +115,21 @@ def _mcc_from_marginals() -> Column:
     )
 
 
-def mcc(counts: DataFrame, keys: list[str], labels: Column) -> DataFrame:
+def mcc(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Multiclass Matthews correlation from the marginals; 0 when the denominator is 0."""
-    return class_marginals(counts, keys, labels).groupBy(*keys).agg(_mcc_from_marginals().alias("value"))
+    return class_marginals(counts, keys).groupBy(*keys).agg(_mcc_from_marginals().alias("value"))
 
 
 def classification_metrics(counts: DataFrame, keys: list[str], labels: Column) -> DataFrame:
-    """(keys, metric, value): all scalar class metrics from one grouping of the marginals."""
-    marginals = class_marginals(counts, keys, labels).groupBy(*keys).agg(
+    """(keys, metric, value): all scalar class metrics from one grouping; a class that does not occur adds nothing."""
+    wide = class_marginals(counts, keys).groupBy(*keys).agg(
         (F.sum("hits") / F.sum("support")).alias("Accuracy"),
-        F.avg(_f1()).alias("F1ScoreMacro"),
+        (F.sum(_f1()) / F.size(labels)).alias("F1ScoreMacro"),
         (F.sum("hits") / F.sum("support")).alias("F1ScoreMicro"),
         (F.sum(F.col("support") * _f1()) / F.sum("support")).alias("WeightedF1Score"),
         _mcc_from_marginals().alias("MCC"),
+        (F.sum("ce") / F.sum("support")).alias("CrossEntropyLoss"),
     )
-    loss = cross_entropy_loss(counts, keys).withColumnRenamed("value", "CrossEntropyLoss")
-    wide = marginals.join(loss, keys)
     return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "metric", "value")
 
 
@@ -193,7 +197,9 @@ def evaluate(
         return found.select("evaluator", "metric", no_class, "value")
     if labels is None:
         raise ValueError("class metrics need the class list")
-    counts = control_table(add_global(class_counts(predictions, labels, [client]), client))
+    counts = add_global(class_counts(predictions, labels, [client]), client)
+    if PER_CLASS in metrics:
+        counts = control_table(counts)
     parts = []
     if set(metrics) & set(CLASSIFICATION):
         scalar = classification_metrics(counts, keys, labels).where(F.col("metric").isin(metrics))

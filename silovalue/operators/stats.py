@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from silovalue.functions.lineage import control_table
 from silovalue.operators.metrics import GLOBAL
 
 EXACT_SILOS = 7
@@ -158,6 +159,7 @@ def sv_distance_correlation(
     found = (
         pearson_p_value(pearson(joined, by)).select(*by, "r", "p") if method == "pearson" else spearman_permutation_p(joined, by)
     )
+    found = control_table(found)
     central = found.where(F.col("evaluator") == GLOBAL).select(*keys, F.lit("Centralized").alias("side"), "r", "p")
     others = fisher_mean(found.where(F.col("evaluator") != GLOBAL), list(keys)).select(
         *keys, F.lit("Decentralized").alias("side"), "r", "p"

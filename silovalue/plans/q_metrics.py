@@ -28,8 +28,8 @@ _metric("cross_entropy_loss", lambda c, l: M.cross_entropy_loss(c, KEY), "CrossE
 _metric("accuracy", lambda c, l: M.accuracy(c, KEY), "Accuracy")
 _metric("f1_micro", lambda c, l: M.f1_micro(c, KEY), "F1ScoreMicro")
 _metric("f1_macro", lambda c, l: M.f1_macro(c, KEY, l), "F1ScoreMacro")
-_metric("f1_weighted", lambda c, l: M.f1_weighted(c, KEY, l), "WeightedF1Score")
-_metric("mcc", lambda c, l: M.mcc(c, KEY, l), "MCC")
+_metric("f1_weighted", lambda c, l: M.f1_weighted(c, KEY), "WeightedF1Score")
+_metric("mcc", lambda c, l: M.mcc(c, KEY), "MCC")
 
 
 @query("f1_per_class", "SELECT evaluator, class, round(value, 6) AS value FROM f1_table")

@@ -138,7 +138,7 @@ WHERE metric IN ('CrossEntropyLoss', 'MCC') GROUP BY ALL""")
 
 def _totals(model):
     sv = fx.round_shapley(model, fx.round_utility(model, NAMES))
-    return control_table(S.shapley_totals(sv, ["evaluator", "metric", "client_id"]))
+    return S.shapley_totals(sv, ["evaluator", "metric", "client_id"])
 
 
 @query("sv_agreement", """
@@ -151,7 +151,7 @@ SELECT metric, round((SELECT corr(x, y) FROM ranked r WHERE r.metric = b.metric)
 def sv_agreement(spark, d):
     """Centralized against share-weighted values over the event silos; with four silos p of Pearson is 1 − |r|."""
     model = fx.round_model(spark, d)
-    totals = _totals(model)
+    totals = control_table(_totals(model))
     profile = model.counts.groupBy("client_id", "split", "label").agg(F.sum("n").alias("n"))
     pooled = S.shapley_aggregated(totals, A.train_shares(profile), None, ["metric", "client_id"])
     both = totals.where(F.col("evaluator") == M.GLOBAL).withColumn("evaluator", F.lit("Centralized")).unionByName(
@@ -181,8 +181,7 @@ FROM sv_measure_pearson WHERE evaluator <> 'Global' GROUP BY metric, measure"""
 @query("sv_distance_correlation", CORRELATION_SQL)
 def sv_distance_correlation(spark, d):
     model = fx.round_model(spark, d)
-    measures = control_table(event_measures(spark, d, model))
-    return rounded(C.sv_distance_correlation(_totals(model), measures))
+    return rounded(C.sv_distance_correlation(_totals(model), event_measures(spark, d, model)))
 
 
 @query("join_correlations", """
@@ -195,7 +194,7 @@ FROM (SELECT metric, measure, corr(x, y) AS s FROM ranked GROUP BY ALL) JOIN (SE
 USING (metric, measure)""")
 def join_correlations(spark, d):
     model = fx.round_model(spark, d)
-    totals = _totals(model).where(F.col("evaluator") == M.GLOBAL)
+    totals = control_table(_totals(model).where(F.col("evaluator") == M.GLOBAL))
     measures = control_table(event_measures(spark, d, model))
     ranks = C.sv_distance_correlation(totals, measures, "spearman").where(F.col("side") == "Centralized")
     straight = C.sv_distance_correlation(totals, measures).where(F.col("side") == "Centralized")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from silovalue.functions.lineage import scratch_path
@@ -126,7 +127,17 @@ for _name, (_k, _rule, _build) in QUOTAS.items():
     _register_quota(_name, _k, _rule, _build)
 
 
-@query("quota_hellinger_trap")
+# The trap's class mix does not depend on the data: a flat Dirichlet draw for the four classes beside the last.
+TRAP_MIX = [float(v) for v in np.random.RandomState(5).dirichlet(np.ones(4) * 1000.0)]
+
+
+@query("quota_hellinger_trap", f"""
+WITH even AS (SELECT client_id, label, split, pos, classes, n // 7 AS e FROM class_places CROSS JOIN (SELECT unnest(range(6)) AS client_id)),
+cut AS (SELECT *, e - sum(CASE WHEN pos = classes - 1 THEN 0 ELSE e END) OVER (PARTITION BY split, client_id) // (7 * classes) AS own FROM even)
+SELECT client_id, label, split, CAST(CASE WHEN client_id < 5 THEN CASE WHEN pos = classes - 1 THEN 0 ELSE e END
+  WHEN pos = classes - 1 THEN own
+  ELSE floor(({TRAP_MIX!r}::DOUBLE[])[pos + 1] * sum(CASE WHEN pos = classes - 1 THEN 0 ELSE own END) OVER (PARTITION BY split, client_id)) END AS BIGINT) AS n
+FROM cut""")
 def quota_hellinger_trap(spark, d):
     return D.quota_hellinger_trap(D.label_counts(fx.silo_events(spark, d)), 6, 5)
 

@@ -53,5 +53,15 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(table.coalesce(1)) if _single(table) else table
 
 
+def partitioned_copy(df: DataFrame, by: str) -> DataFrame:
+    """Rows stored in the shared folder by one column: jobs that take one value at a time read only its directory.
+
+    The rebalance hint lets a value that holds a third of the rows be written by many tasks.
+    """
+    path = scratch_path(df.sparkSession, by)
+    df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

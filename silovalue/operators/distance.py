@@ -529,7 +529,7 @@ def quantized(df: DataFrame, points: int, features: str = "features", seed: int
     ))
     small = sizes.where(F.col("rows") <= points)
     rows = with_global_silo(df.select("client_id", features))
-    raw = rows.join(F.broadcast(small.select("client_id")), "client_id", "left_semi").select(
+    raw = rows.join(small_side(small.select("client_id")), "client_id", "left_semi").select(
         "client_id", F.struct(F.lit(1.0).alias("w"), F.col(features).alias("x")).alias("atom")
     )
     if sizes.where(F.col("rows") > points).isEmpty():
@@ -538,7 +538,7 @@ def quantized(df: DataFrame, points: int, features: str = "features", seed: int
         vectors = df.select("client_id", features, array_to_vector(features).alias("_v"))
         model = KMeans(featuresCol="_v", predictionCol="_cell", k=points, seed=seed, maxIter=10).fit(vectors)
         cells = with_global_silo(model.transform(vectors).select("client_id", "_cell", features)).join(
-            sizes.where(F.col("rows") > points).select("client_id"), "client_id", "left_semi"
+            small_side(sizes.where(F.col("rows") > points).select("client_id")), "client_id", "left_semi"
         )
         long = cells.select("client_id", "_cell", F.posexplode(features).alias("i", "x")).groupBy("client_id", "_cell", "i").agg(
             F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")

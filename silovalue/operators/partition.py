@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from silovalue.functions.hashing import row_hash
-from silovalue.functions.lineage import cut_lineage, small_side
+from silovalue.functions.lineage import partitioned_copy, small_side
 from silovalue.functions.ranking import hash_rank
 from silovalue.operators.count_model import distinct_list
 from silovalue.sources.tables import sink_partition
@@ -303,11 +303,11 @@ def partition_feature_clusters(
 ) -> DataFrame:
     """k-means inside every class; the cluster number is the silo.
 
-    One fit per class on Spark ML, a few of them side by side. The centres (classes × k vectors) are the only data on the driver; all rows are
+    One fit per class on Spark ML, a few of them side by side, each reading only the rows of its class. The centres (classes × k vectors) are the only data on the driver; all rows are
     assigned in one pass by their distance to the k centres of their class.
     """
     spark: SparkSession = df.sparkSession
-    vectors = cut_lineage(df.select(label, array_to_vector(F.col(features)).alias("_v")))
+    vectors = partitioned_copy(df.select(array_to_vector(F.col(features)).alias("_v"), label), label)
     classes = sorted(r[0] for r in df.select(label).distinct().limit(10_001).collect())
     if len(classes) > 10_000:
         raise ValueError("too many classes to cluster one by one")

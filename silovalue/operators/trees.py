@@ -8,15 +8,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from silovalue.functions.lineage import partitioned_copy
+
 
 def fit_trees_per_client(
     train: DataFrame, classes: int, rounds: int = 3, depth: int = 3, rate: float = 0.3, seed: int = 1, parallelism: int = 4
 ) -> dict[object, list]:
     """Per silo and class a boosted ensemble that scores the class indicator; silos are fitted side by side.
 
-    ``train`` is (client_id, features, target). Every fit is a distributed Spark ML job on one silo's rows.
+    ``train`` is (client_id, features, target). Every fit is a distributed Spark ML job that reads one silo's directory.
     """
-    vectors = train.select("client_id", array_to_vector("features").alias("features"), "target")
+    vectors = partitioned_copy(train.select(array_to_vector("features").alias("features"), "target", "client_id"), "client_id")
     silos = [r[0] for r in train.select("client_id").distinct().orderBy("client_id").limit(10_001).collect()]
     if len(silos) > 10_000:
         raise ValueError("too many silos to fit one by one")

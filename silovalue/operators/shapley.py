@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from silovalue.functions import arrays
 from silovalue.functions.lineage import control_table
 from silovalue.operators import metrics as M
+from silovalue.operators.combine import aggregate_f1
 from silovalue.operators.count_model import average_parameters, distinct_list
 
 MAX_PLAYERS = 12
@@ -130,8 +131,6 @@ def shapley_aggregated(
 
     ``squared_rmse`` squares RMSE values before weighting and does not root them, as published results did.
     """
-    from silovalue.operators.combine import aggregate_f1, aggregate_metric
-
     value = F.when(F.col("metric") == "RMSE", F.col("value") * F.col("value")).otherwise(F.col("value"))
     rows = sv.withColumn("value", value) if squared_rmse else sv
     own = shares.withColumnRenamed("client_id", "_evaluator_id").withColumn(

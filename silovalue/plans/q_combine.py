@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from silovalue.functions.lineage import control_table, small_side
 from silovalue.operators import combine as A, count_model, metrics as M, shapley as S
-from silovalue.operators.partition import partition_profile
 from silovalue.plans import fixtures as fx
 from silovalue.plans.catalog import query, view
 from silovalue.plans.fixtures import rounded

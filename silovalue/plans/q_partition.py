@@ -9,7 +9,6 @@ from silovalue.functions.lineage import scratch_path
 from silovalue.operators import distance as X, partition as D, prep as P
 from silovalue.plans import fixtures as fx
 from silovalue.plans.catalog import query, view
-from silovalue.plans.fixtures import rounded
 from silovalue.sources import tables as T
 
 # ---------------------------------------------------------------- joins and set operations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silovalue.functions.lineage import scratch_path
-from silovalue.operators import combine as A, prep as P, shapley as S
+from silovalue.operators import combine as A, prep as P
 from silovalue.plans import fixtures as fx
 from silovalue.plans.catalog import query, view
 from silovalue.plans.fixtures import rounded

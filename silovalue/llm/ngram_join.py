@@ -22,6 +22,10 @@ from silovalue.llm import common
 SHINGLE = 5
 LEAST = 75  # per cent of the union
 LEADERS = 4
+DENSE_FROM = 16
+DENSE_ROUNDS = 3
+MASK_WORDS = 16
+MASKED_FROM = 32
 COMMON_FROM = 64
 MAX_COMMON = 200_000
 TILE_BLOCK = 2048
@@ -42,6 +46,13 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def mask(hashes: np.ndarray) -> bytes:
+    """A bitmap of the same 1,024 places for every set: many can be compared at once while a tile is searched."""
+    bits = np.zeros(64 * MASK_WORDS, dtype=np.uint8)
+    bits[(hashes >> np.uint64(20)) % np.uint64(64 * MASK_WORDS)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def overlap_bound(a: bytes, n: int, b: bytes, m: int) -> int:
     """No more shingles than this are in both sets: each differing bit is a shingle of one set alone."""
     x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
@@ -63,7 +74,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarra
 
 
 def summaries(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bits, leads): size, 128-bit fingerprint and bitmap of the set, its first shingles."""
+    """(doc_id, n_shingles, f1, f2, bits, mask, leads): size, 128-bit fingerprint and bitmaps of the set, its first shingles."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -71,11 +82,11 @@ def summaries(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFram
             data = s.tobytes()
             f1, f2 = (xxhash.xxh3_64_intdigest(data, seed=x) for x in (1, 2)) if len(s) else (0, 0)
             leads = s[: min(LEADERS, prefix_length(len(s), least))] if len(s) else s
-            rows.append((doc, len(s), f1 - (1 << 63), f2 - (1 << 63), bitmap(s) if len(s) else b"", leads.view(np.int64).tolist()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "n_shingles", "f1", "f2", "bits", "leads"])
+            rows.append((doc, len(s), f1 - (1 << 63), f2 - (1 << 63), bitmap(s) if len(s) else b"", mask(s), leads.view(np.int64).tolist()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "n_shingles", "f1", "f2", "bits", "mask", "leads"])
 
-    return common.map_batches(docs, one, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits binary, leads array<bigint>")
+    return common.map_batches(docs, one, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits binary, mask binary, leads array<bigint>")
 
 
 def _slot(key: Column) -> Column:
@@ -153,13 +164,17 @@ def postings(docs: DataFrame, k: int, least: int, rare_only: bytes | None, heavy
 
 
 def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each tile, rows sorted by tile and size: only sizes within the ratio meet, and other components.
+    """Pairs (a, b) of each tile, rows sorted by tile and size: only sizes within the ratio meet, and other components,
+    and in larger tiles only sets whose masks allow the overlap.
 
     Rows that can still meet later ones are carried from batch to batch.
     """
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "doc_id", "n", "c", "side")}
+        masks = batch.column("mask").to_pylist()
+        new["masked"] = np.array([m is not None for m in masks], dtype=bool)
+        new["mask"] = np.frombuffer(b"".join(m or bytes(8 * MASK_WORDS) for m in masks), dtype=np.uint64).reshape(-1, MASK_WORDS)
         rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
         old = 0 if held is None else len(held["n"])
         total, d = len(rows["n"]), 1
@@ -171,6 +186,12 @@ def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
                 break
             hit = meet & (rows["c"][early] != rows["c"][later])
             hit &= (rows["side"][early] != rows["side"][later]) | (rows["side"][later] == 2)
+            seen = np.flatnonzero(hit & rows["masked"][early])
+            if len(seen):
+                x, y = early[seen], later[seen]
+                both = rows["n"][x] + rows["n"][y]
+                most = np.minimum((both - np.bitwise_count(rows["mask"][x] ^ rows["mask"][y]).sum(axis=1)) // 2, rows["n"][x])
+                hit[seen] = 100 * most >= least * (both - most)
             if hit.any():
                 a, b = rows["doc_id"][early[hit]], rows["doc_id"][later[hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -179,10 +200,13 @@ def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         held = {c: v[keep] for c, v in rows.items()}
 
 
-def _tiles(listed: DataFrame, block: int) -> DataFrame:
-    """(tile, doc_id, n, c, side) of tiles with documents of several components; large tiles are cut in pairs of blocks."""
+def _tiles(listed: DataFrame, slim: DataFrame, block: int) -> DataFrame:
+    """(tile, doc_id, n, c, side, mask) of tiles with documents of several components; large tiles are cut in pairs of blocks."""
     stats = listed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 < c1")
     open_ = listed.join(stats.select("key", "rows"), "key")
+    masks = slim.select(F.col("doc_id").alias("d"), "mask").dropDuplicates(["d"])
+    large = open_.where(F.col("rows") >= MASKED_FROM).join(masks, F.col("doc_id") == F.col("d")).drop("d")
+    open_ = open_.where(F.col("rows") < MASKED_FROM).withColumn("mask", F.lit(None).cast("binary")).unionByName(large)
     blocks = F.ceil(F.col("rows") / block).cast("bigint")
     cut = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -190,10 +214,10 @@ def _tiles(listed: DataFrame, block: int) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     tile = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
     # On the diagonal all meet all; elsewhere only the two blocks meet.
-    return spread.select(tile.alias("tile"), "doc_id", "n", "c", side.alias("side"))
+    return spread.select(tile.alias("tile"), "doc_id", "n", "c", side.alias("side"), "mask")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least: int, sets: DataFrame | None = None) -> DataFrame:
     """The pairs that are linked: first by the bitmaps' bound, then by the exact intersection."""
     sketch = slim.select("doc_id", "n_shingles", "bits")
     left = sketch.toDF("a", "na", "xa").dropDuplicates(["a"])
@@ -206,16 +230,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     passed = common.stored(common.map_batches(near, bounded, "a bigint, b bigint"), "join-passed")
-    ids = passed.select(F.explode(F.array("a", "b")).alias("d"))
-    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(ids, "d"))
-
-    def arrays(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = batch.filter(pa.array(Slots(wanted.value).has(ids)))
-        rows = [(d, s.tobytes()) for d, s in _sets(part, k) if d is not None and len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "s"])
-
-    sets = common.map_batches(docs, arrays, "doc_id bigint, s binary").dropDuplicates(["doc_id"])
+    if sets is None:
+        sets = arrays_of(docs, passed.select(F.explode(F.array("a", "b")).alias("d")), k)
     both = passed.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
 
     def exact(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -228,6 +244,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least:
     return common.map_batches(both, exact, "a bigint, b bigint")
 
 
+def arrays_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, s): sorted shingle hashes of the documents with these ids (column d), and of few others at most."""
+    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(ids, "d"))
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = batch.filter(pa.array(Slots(wanted.value).has(own)))
+        rows = [(d, s.tobytes()) for d, s in _sets(part, k) if d is not None and len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "s"])
+
+    return common.map_batches(docs, one, "doc_id bigint, s binary").dropDuplicates(["doc_id"])
+
+
+def dense_links(leads: DataFrame, known: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least: int) -> list[DataFrame]:
+    """Links that connect the members of large tiles before any tile is searched through.
+
+    In each round every document of a tile meets one member, another one each time, unless they are connected already.
+    That is at most LEADERS pairs a document; the later search is exact whatever is found here.
+    """
+    large = leads.groupBy("key").count().where(F.col("count") >= DENSE_FROM).select("key")
+    members = leads.join(large, "key").join(known.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    members = common.stored(members.select("doc_id", "key", "c"), "join-dense")
+    if not members.take(1):
+        return []
+    sets, found = common.stored(arrays_of(docs, members.select(F.col("doc_id").alias("d")), k), "join-dense-sets"), []
+    for r in range(DENSE_ROUNDS):
+        lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "doc_id").alias("h"), "doc_id", "c")).alias("l"))
+        tried = members.join(lead, "key").where("c <> l.c").select(
+            F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
+        new = common.stored(_verified(tried, docs, slim, k, least, sets), "join-dense-links")
+        if not new.take(1):
+            break
+        found.append(new)
+        label = members.select("doc_id", "c").distinct()
+        joined = new.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = common.components(joined).toDF("c", "to")
+        members = common.stored(members.join(merged, "c", "left").select("doc_id", "key", F.coalesce("to", "c").alias("c")), "join-dense")
+    return found
+
+
 def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents linked by 100 |A and B| >= least |A or B|.
 
@@ -248,6 +304,9 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     first = leads.join(leader, "key").where("b < doc_id").groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
     near = common.stored(_verified(first, docs, slim, k, least), "join-near")
     known = common.components(edges.unionByName(near))
+    for more in dense_links(leads, known, docs, slim, k, least):
+        near = near.unionByName(more)
+    known = common.components(edges.unionByName(near))
 
     counted = postings(docs, k, least, None, np.zeros(0, np.uint64)).groupBy("key").count().where("count > 1")
     counted = common.stored(counted, "join-keys")
@@ -256,7 +315,7 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     listed = postings(docs, k, least, slot_filter(counted, "key"), heavy)
     listed = listed.join(known.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     listed = common.stored(listed, "join-listed")
-    tiles = _tiles(listed, TILE_BLOCK)
+    tiles = _tiles(listed, slim, TILE_BLOCK)
     ordered = tiles.repartition(common.width(docs.sparkSession), "tile").sortWithinPartitions("tile", "n", "doc_id")
     pairs = ordered.mapInArrow(lambda b: sized_pairs(b, least), "a bigint, b bigint").where("a <> b").distinct()
     more = _verified(common.stored(pairs, "join-pairs"), docs, slim, k, least)

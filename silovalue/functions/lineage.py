@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BROADCAST_BYTES = 32 << 20
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where nothing is set in tests."""
@@ -28,29 +30,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _single(table: DataFrame) -> bool:
-    """Adaptive execution leaves a checkpointed aggregate in one partition only if it measured it as small."""
-    return table.rdd.getNumPartitions() == 1
+def measured_bytes(table: DataFrame) -> int:
+    """Size of a checkpointed table as text, which is more than what its rows take in memory as numbers."""
+    return table.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0] or 0
 
 
 def control_table(df: DataFrame) -> DataFrame:
     """Checkpoints an aggregate that later steps read several times (counts, utilities, sums of model size).
 
-    A small one lies in one partition and is declared so: its joins and groupings then need no shuffle. A larger one
-    keeps its partitions and is shuffled as usual.
+    It keeps its partitions: what fans out from it, coalitions or pairs, is dealt by its own key.
     """
-    table = cut_lineage(df)
-    return table.coalesce(1) if _single(table) else table
+    return cut_lineage(df)
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The side of a join that should be small: sizes, bounds, model parameters of a silo.
 
-    It is checkpointed and measured. One small partition is broadcast, so that the rows of the other side are not
-    shuffled by a key that may be skewed; anything larger stays an ordinary join side.
+    It is checkpointed and measured. Up to ``limit`` bytes are broadcast, so that the rows of the other side are not
+    shuffled by a key that may be skewed; anything larger stays an ordinary join side, with the same result.
     """
     table = cut_lineage(df)
-    return F.broadcast(table.coalesce(1)) if _single(table) else table
+    return F.broadcast(table) if measured_bytes(table) <= limit else table
 
 
 def partitioned_copy(df: DataFrame, by: str) -> DataFrame:

@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from silovalue.functions.hashing import row_hash
 
 BUCKETS_PER_PARTITION = 64
-ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 16_384
 
 
-def _offsets(df: DataFrame, group: list[str], weight: Column) -> DataFrame:
-    sizes = df.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_size"))
+def _with_offsets(df: DataFrame, group: list[str], weight: Column) -> DataFrame:
+    """Adds ``_offset``, the weight before the row's bucket in its group; null groups and buckets are kept as such."""
+    keys = [*group, "_bucket"]
+    sizes = df.groupBy(*keys).agg(F.sum(weight).alias("_size"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(*group, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select(
+        *[F.col(k).alias(f"_o_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_o_{i}")) for i, k in enumerate(keys)]
+    return df.join(offsets, same).drop(*[f"_o_{i}" for i in range(len(keys))])
 
 
 def hash_rank(
@@ -40,40 +44,38 @@ def hash_rank(
     if group == ["_all"]:
         hashed = hashed.withColumn("_all", F.lit(0))
     inside = Window.partitionBy(*group, "_bucket").orderBy("_hash", id_col)
-    ranked = hashed.join(_offsets(hashed, group, F.lit(1)), [*group, "_bucket"]).withColumn(
+    ranked = _with_offsets(hashed, group, F.lit(1)).withColumn(
         name, (F.col("_offset") + F.row_number().over(inside) - 1).cast("bigint")
     )
     return ranked.drop("_hash", "_bucket", "_offset", "_all")
 
 
 def quantile_bounds(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
-    """Bucket borders per column that follow the data; at most 16,384 numbers per column reach the driver.
+    """Bucket borders per column that follow the data, from one pass; nulls and NaN have no part in them.
 
-    A large table gets more buckets, so that a bucket stays within what one task sorts.
+    There is at least one bucket for each shuffle partition of the session, so a bucket is no more than what the session
+    means a task to sort. Borders steer the balance only: ranks are exact whatever they are.
     """
-    def fit(count: int):
-        probabilities = [i / count for i in range(1, count)]
-        return df.agg(F.count(F.lit(1)).alias("_rows"), *[
-            F.percentile_approx(F.col(c).cast("double"), probabilities, 20 * count).alias(c) for c in columns
-        ]).first()
-
-    found = fit(buckets)
-    wanted = min(found["_rows"] // ROWS_PER_BUCKET, MAX_BUCKETS)
-    if wanted > buckets:
-        found = fit(wanted)
+    count = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probabilities = [i / count for i in range(1, count)]
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    found = df.agg(*[
+        F.percentile_approx(F.when(~F.isnan(v), v), probabilities, 10 * count).alias(c) for c, v in numbers.items()
+    ]).first()
     return [sorted(set(found[c] or [])) for c in columns]
 
 
 def quantile_bucket(df: DataFrame, columns: list[str], names: list[str], buckets: int = 256) -> DataFrame:
-    """Adds an order-preserving bucket number for each numeric column."""
+    """Adds an order-preserving bucket number for each numeric column: nulls in bucket -1, NaN in the one after the last."""
     inner = quantile_bounds(df, columns, buckets)
     typed = df.withColumns({f"_d_{n}": F.col(c).cast("double") for c, n in zip(columns, names)})
     bucketizer = Bucketizer(
         inputCols=[f"_d_{n}" for n in names],
         outputCols=names,
         splitsArray=[[-float("inf"), *b, float("inf")] if b else [-float("inf"), 0.0, float("inf")] for b in inner],
+        handleInvalid="keep",
     )
-    whole = {n: F.col(n).cast("int") for n in names}
+    whole = {n: F.coalesce(F.col(n).cast("int"), F.lit(-1)) for n in names}
     return bucketizer.transform(typed).withColumns(whole).drop(*[f"_d_{n}" for n in names])
 
 
@@ -89,7 +91,7 @@ def ordered_rank(
         bucketed = bucketed.withColumn("_all", F.lit(0))
     keys = group or ["_all"]
     inside = Window.partitionBy(*keys, "_bucket").orderBy(key)
-    ranked = bucketed.join(_offsets(bucketed, keys, F.lit(1)), [*keys, "_bucket"]).withColumn(
+    ranked = _with_offsets(bucketed, keys, F.lit(1)).withColumn(
         name, (F.col("_offset") + F.row_number().over(inside) - 1).cast("bigint")
     )
     return ranked.drop("_bucket", "_offset", "_all")
@@ -109,7 +111,7 @@ def cumulative_counts(df: DataFrame, group: list[str], value: str, bucket: str |
     keys = group or ["_all"]
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
     return (
-        counted.join(_offsets(counted, keys, F.col("n")), [*keys, "_bucket"])
+        _with_offsets(counted, keys, F.col("n"))
         .withColumn("upto", (F.col("_offset") + F.sum("n").over(inside)).cast("bigint"))
         .drop("_bucket", "_offset", "_all")
     )

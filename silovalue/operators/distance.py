@@ -315,8 +315,10 @@ def transport_1d(source: DataFrame, target: DataFrame, value: str = "value", cel
 
     Equal values are counted together; the sorted mass intervals of both sides are cut at common cell borders, and inside
     a cell the two lists of interval ends are merged by a window. No pairs are formed and no cell holds more than a
-    1/cells share of the mass.
+    1/cells share of the mass. Null and NaN values take no part: the mass of the others is 1.
     """
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    source, target = source.where(known), target.where(known)
     s = cumulative_counts(source.select(value), [], value)
     t = cumulative_counts(target.select(value), [], value)
     n, m = source.agg(F.count(F.lit(1))).scalar(), target.agg(F.count(F.lit(1))).scalar()
@@ -521,34 +523,18 @@ def _mmd_from_sums(sums: DataFrame, counts: DataFrame, n_rows: int) -> DataFrame
 def quantized(df: DataFrame, points: int, features: str = "features", seed: int = 1, id_col: str = "row_id") -> DataFrame:
     """(client_id, atoms): every silo and Global as at most ``points`` weighted vectors whose weights are row counts.
 
-    A silo with few rows keeps its rows. A larger one is represented by the means of its rows around ``points`` shared
-    k-means centres, so no row is dropped and the weights stay exact.
+    Silos of every size share one set of ``points`` k-means centres and are represented by the means of their rows around
+    them, so no row is dropped, the weights are exact, and all silos are measured alike.
     """
-    sizes = control_table(with_global_silo(df.groupBy("client_id").agg(F.count(F.lit(1)).alias("rows"))).groupBy("client_id").agg(
-        F.sum("rows").alias("rows")
-    ))
-    small = sizes.where(F.col("rows") <= points)
-    rows = with_global_silo(df.select("client_id", features))
-    raw = rows.join(small_side(small.select("client_id")), "client_id", "left_semi").select(
-        "client_id", F.struct(F.lit(1.0).alias("w"), F.col(features).alias("x")).alias("atom")
+    width = df.select(F.size(features)).first()[0]
+    vectors = df.select("client_id", features, array_to_vector(features).alias("_v"))
+    model = KMeans(featuresCol="_v", predictionCol="_cell", k=points, seed=seed, maxIter=10).fit(vectors)
+    cells = with_global_silo(model.transform(vectors).select("client_id", "_cell", features))
+    means = cells.groupBy("client_id", "_cell").agg(
+        F.count(F.lit(1)).cast("double").alias("w"),
+        F.array(*[F.avg(F.element_at(features, i + 1)) for i in range(width)]).alias("x"),
     )
-    if sizes.where(F.col("rows") > points).isEmpty():
-        atoms = raw
-    else:
-        vectors = df.select("client_id", features, array_to_vector(features).alias("_v"))
-        model = KMeans(featuresCol="_v", predictionCol="_cell", k=points, seed=seed, maxIter=10).fit(vectors)
-        cells = with_global_silo(model.transform(vectors).select("client_id", "_cell", features)).join(
-            small_side(sizes.where(F.col("rows") > points).select("client_id")), "client_id", "left_semi"
-        )
-        long = cells.select("client_id", "_cell", F.posexplode(features).alias("i", "x")).groupBy("client_id", "_cell", "i").agg(
-            F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")
-        )
-        means = long.groupBy("client_id", "_cell").agg(
-            F.max("n").cast("double").alias("w"),
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"),
-        )
-        atoms = raw.unionByName(means.select("client_id", F.struct("w", "x").alias("atom")))
-    return control_table(atoms.groupBy("client_id").agg(F.collect_list("atom").alias("atoms")))
+    return control_table(means.groupBy("client_id").agg(F.collect_list(F.struct("w", "x")).alias("atoms")))
 
 
 def sinkhorn_divergence(
@@ -558,9 +544,9 @@ def sinkhorn_divergence(
     cost = lambda p, q: 0.5 * np.clip((p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T, 0, None)
     both = np.vstack([x, y])
     diameter = max(float(np.linalg.norm(both.max(axis=0) - both.min(axis=0))), blur)
-    steps = [diameter**2] + [
-        float(np.exp(e)) for e in np.arange(2 * np.log(diameter), 2 * np.log(blur), 2 * np.log(scaling))
-    ] + [blur**2]
+    # Lengths shrink by ``scaling`` from the diameter until the blur is reached.
+    count = int(np.ceil(np.log(blur / diameter) / np.log(scaling)))
+    steps = [(diameter * scaling**k) ** 2 for k in range(count)] + [blur**2]
     la, lb = np.log(a), np.log(b)
     cxy, cxx, cyy = cost(x, y), cost(x, x), cost(y, y)
 
@@ -586,8 +572,8 @@ def wasserstein_sinkhorn(
 ) -> DataFrame:
     """(src, tgt, value): twice the debiased Sinkhorn divergence between silos.
 
-    Exact for silos of at most ``points`` rows; larger silos enter as weighted k-means cells (see ``quantized``). One
-    task solves one pair of bounded size.
+    Silos enter as weighted k-means cells, whatever their size: ``points`` is the resolution (see ``quantized``). One task
+    solves one pair of bounded size.
     """
     pairs = pair_up(quantized(df, points, features, seed), ["atoms"])
     spread = pairs.repartition(F.col("src"), F.col("tgt"))

@@ -47,8 +47,8 @@ def dirichlet_quota(
 
     Each silo aims at its percentage of all rows. It draws a class mix from Dirichlet(alpha · class share) and takes
     floor(mix · missing) of each class, capped by what is left, until its total is reached or nothing remains. When a
-    pass gives nothing the mix is redrawn and one row of each likely class is taken. The test side uses the same mix and
-    stops with the training side. Only class counts reach the driver.
+    pass gives nothing the mix is redrawn and one row of each likely class is taken. The test side uses the mix that the
+    pass began with and stops with the training side. Only class counts reach the driver.
     """
     spark = counts.sparkSession
     rows = counts.collect()
@@ -78,8 +78,10 @@ def dirichlet_quota(
         given = {s: np.zeros(len(labels), dtype=np.int64) for s in left}
         mix = draw("train")
         while left["train"].any() and given["train"].sum() < target["train"][client]:
-            given["train"], mix = take("train", mix, given["train"], client)
-            given["test"], mix = take("test", mix, given["test"], client)
+            before = mix
+            given["train"], mix = take("train", before, given["train"], client)
+            given["test"], redrawn = take("test", before, given["test"], client)
+            mix = mix if redrawn is before else redrawn
         quota += [(client, l, s, int(given[s][i])) for s in ("train", "test") for i, l in enumerate(labels)]
     return spark.createDataFrame(quota, QUOTA_SCHEMA)
 

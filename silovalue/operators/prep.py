@@ -199,10 +199,10 @@ def onehot_columns(df: DataFrame, column: str, values: list[str], name: str | No
     })
 
 
-def display_label(label: str | Column) -> Column:
-    """Class name without its prefix: the text after the first underscore."""
+def display_label(label: str | Column, prefix: str) -> Column:
+    """Class name without the encoder's ``prefix`` and its underscore; other underscores stay."""
     c = (F.col(label) if isinstance(label, str) else label).cast("string")
-    return F.when(F.instr(c, "_") > 0, F.substring_index(c, "_", -1)).otherwise(c)
+    return F.when(c.startswith(f"{prefix}_"), F.substring(c, len(prefix) + 2, 1 << 30)).otherwise(c)
 
 
 def encode_labels(df: DataFrame, fit_on: DataFrame, label: str = "label", name: str = "class_index") -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from silovalue.functions import arrays
-from silovalue.functions.lineage import control_table
+from silovalue.functions.lineage import control_table, small_side
 from silovalue.operators import metrics as M
 from silovalue.operators.combine import aggregate_f1
 from silovalue.operators.count_model import average_parameters, distinct_list
@@ -42,9 +42,12 @@ def coalitions(df: DataFrame, client: str = "client_id") -> DataFrame:
 def coalition_models(
     params: DataFrame, positions: list[str], silos: DataFrame | None = None, client: str = "client_id"
 ) -> DataFrame:
-    """Parameters of each coalition: the weighted average of its members' parameters."""
-    members = coalition_members(params if silos is None else silos, client)
-    return average_parameters(params.join(members, client), positions, ["mask"])
+    """Parameters of each coalition: the weighted average of its members' parameters.
+
+    The lattice is dealt by coalition before the parameters join, so its fan-out runs in as many tasks as there are.
+    """
+    members = coalition_members(params if silos is None else silos, client).repartition("mask")
+    return average_parameters(members.join(small_side(params), client), positions, ["mask"])
 
 
 def coalition_counts(models: DataFrame, test_counts: DataFrame, labels: Column, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -165,12 +165,13 @@ SELECT list(p ORDER BY p) AS classes FROM (SELECT DISTINCT o_orderpriority AS p
 
 @query("encode_labels", """
 SELECT o_orderkey, CAST(list_position((SELECT classes FROM priority_classes), o_orderpriority) - 1 AS INTEGER) AS class_index,
-       CASE WHEN strpos(o_orderpriority, '_') > 0 THEN split_part(o_orderpriority, '_', -1) ELSE o_orderpriority END AS display
+       replace(replace(o_orderpriority, '-', '_'), ' ', '_') AS display
 FROM orders""")
 def encode_labels(spark, d):
     rows = T.read_table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"))
     encoded = P.encode_labels(rows, rows)
-    return encoded.select("o_orderkey", "class_index", P.display_label("label").alias("display"))
+    name = F.concat(F.lit("label_"), F.translate("label", "- ", "__"))  # as an encoder names its columns
+    return encoded.select("o_orderkey", "class_index", P.display_label(name, "label").alias("display"))
 
 
 @query("decode_labels", """

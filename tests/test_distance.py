@@ -117,6 +117,12 @@ def test_line_transport_with_many_ties(spark, cells):
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_line_transport_leaves_missing_values_out(spark):
+    frame = lambda v: spark.createDataFrame([(e,) for e in v], "value double")
+    found = X.transport_1d(frame([1.0, None, float("nan"), 2.0]), frame([3.0, None]), cells=8).collect()
+    assert sum(r.mass for r in found) == pytest.approx(1) and {(r.src_value, r.tgt_value) for r in found} == {(1.0, 3.0), (2.0, 3.0)}
+
+
 def test_sliced_distance_of_shifted_copies(spark):
     random = np.random.RandomState(4)
     x = random.normal(size=(200, 2))

@@ -155,8 +155,27 @@ def test_nan_does_not_spoil_the_bounds(spark):
 
 
 def test_display_names(spark):
-    df = spark.createDataFrame([("Activity_LAYING",), ("plain",), ("a_b_c",)], "l string")
-    assert [r[0] for r in df.select(P.display_label("l")).collect()] == ["LAYING", "plain", "c"]
+    df = spark.createDataFrame([("Activity_LAYING",), ("plain",), ("Activity_UP_STAIRS",), ("a_b_c",)], "l string")
+    assert [r[0] for r in df.select(P.display_label("l", "Activity")).collect()] == ["LAYING", "plain", "UP_STAIRS", "a_b_c"]
+
+
+def test_ranks_keep_rows_without_a_key_or_group(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a", None if i == 3 else float("nan") if i == 4 else float(i)) for i in range(10)],
+                               "row_id int, g string, v double")
+    ranked = ranking.hash_rank(df, ["g"], "row_id", 1).collect()
+    assert sorted((r.g or "", r["rank"]) for r in ranked) == [(g, i) for g in ("", "a") for i in range(5)]
+    by_value = {r.row_id: r["rank"] for r in ranking.ordered_rank(df, [], "v").collect()}
+    assert [i for i, _ in sorted(by_value.items(), key=lambda x: x[1])] == [3, 0, 1, 2, 5, 6, 7, 8, 9, 4]
+    assert sorted(by_value.values()) == list(range(10))
+    upto = ranking.cumulative_counts(df, ["g"], "v").groupBy("g").agg({"upto": "max", "n": "sum"}).collect()
+    assert [(r["max(upto)"], r["sum(n)"]) for r in upto] == [(5, 5), (5, 5)]
+
+
+def test_row_ids_of_null_keys(spark):
+    train = spark.createDataFrame([(3,), (None,), (1,)], "k int")
+    test = spark.createDataFrame([(2,)], "k int")
+    found = {(r.k, r.split): r.row_id for r in P.assign_row_ids(train, test, "k").collect()}
+    assert found == {(None, "train"): 0, (1, "train"): 1, (3, "train"): 2, (2, "test"): 3}
 
 
 def test_empty_measure_is_not_written(spark):

@@ -33,9 +33,12 @@ def width(spark: SparkSession) -> int:
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``function`` over Arrow batches; those with texts are cut so that a call holds a few MB of them, or one longer text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from function(batch)
+            for part in slices(batch) if "text" in batch.schema.names else (batch,):
+                yield from function(part)
 
     return df.mapInArrow(run, schema)
 

@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from silovalue.functions.lineage import scratch_path
-from silovalue.llm import codes, html_cut, licenses, mixing, ngram_join, packing, piece_counts, spotsigs, toxicity, vector_graph
+from silovalue.llm import (
+    byte_bpe, chat_repair, codes, filter_audit, html_cut, licenses, mixing, ngram_join, packing, piece_counts, spotsigs, toxicity, vector_graph,
+)
 from silovalue.llm.common import table
 from silovalue.plans.catalog import query
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 @query("op1_source_mix")
@@ -66,3 +69,19 @@ def page_text(spark: SparkSession, directory: str) -> DataFrame:
 @query("op10_piece_counts")
 def piece_lengths(spark: SparkSession, directory: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, directory, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query("op11_byte_bpe")
+def byte_pair_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    rows = byte_bpe.round_trip(table(spark, directory, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return byte_bpe.digest(rows)
+
+
+@query("op12_filter_audit", filter_audit.audit_sql())
+def filter_interactions(spark: SparkSession, directory: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, directory, "documents"), table(spark, directory, "labels")))
+
+
+@query("op13_chat_repair", chat_repair.REPAIR_SQL)
+def conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    return chat_repair.report(chat_repair.damage(table(spark, directory, "conversations")))

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from silovalue.llm import html_cut, licenses, toxicity
@@ -48,6 +49,37 @@ def test_page_text_leaves_the_frame_out(spark):
     assert got[2].text == got[3].text == ""
 
 
+SENTENCES = "".join(f"<p>Sentence {i} of the report tells what was and was not measured in the long second year.</p>" for i in range(8))
+FRAME = (
+    '<div class="cookie-banner"><p>We use cookies to improve your experience on this site, as all do.</p></div><nav><a href=1>Home</a></nav>',
+    '<footer>Copyright notice of all</footer>')
+COMMENTS = '<div class="comments"><p>' + "I disagree with this whole thing, said one reader at length. " * 12 + "</p></div>"
+
+
+@pytest.mark.parametrize("after", ["", COMMENTS])
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout with-sidebar">%s</div>', '<div class="page has-comments">%s</div>', '<article class="post social-story">%s</article>',
+    '<main id="search-results-story">%s</main>', '<div class="related-story">%s</div>', "<div>%s</div>", "<article>%s</article>",
+    '<div class="content sidebar-layout"><div class="article">%s</div></div>'])
+def test_names_of_wrappers_do_not_lose_the_article(wrapper, after):
+    text = "\n".join(html_cut.main_blocks(f"<html><body>{FRAME[0]}{wrapper % SENTENCES}{after}{FRAME[1]}</body></html>"))
+    assert text.count("Sentence") == 8 and not re.search("disagree|cookies|Home|Copyright", text)
+
+
+def test_frames_inside_and_around_an_article_stay_out():
+    inner = '<aside><p>Read this other thing too, it is so very good and long.</p></aside><ul class="share-buttons"><li>Share this story now.</li></ul>'
+    table = "<table><tr><td>Cell one of the table says a thing.</td><td>Cell two says another thing.</td></tr></table>"
+    page = f"<body><header><p>The site of sites for all who read.</p></header><article>{SENTENCES}{inner}{table}<ol><li>First point of the list, in words.</li></ol></article><form><p>Sign up for our letter, it is free for all of you.</p></form></body>"
+    text = "\n".join(html_cut.main_blocks(page))
+    assert text.count("Sentence") == 8 and "Cell two" in text and "First point" in text
+    assert not re.search("other thing too|Share this|site of sites|Sign up", text)
+    assert html_cut.main_blocks(f"<body><article>{SENTENCES * 400}</article></body>").__len__() == 3200
+
+
+def test_pages_of_an_empty_table(spark):
+    assert html_cut.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 def test_stages_and_their_columns(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "source mix", "packing"]
     rows = corpus_pipeline.run(spark, SF)

@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
 from silovalue.functions.lineage import cut_lineage
 from silovalue.llm import common
@@ -25,18 +26,42 @@ OVERLAP = 2
 LARGEST = 6_000  # vectors of one search task; larger shards are cut into pairs of blocks
 POOL, DEGREE, ALPHA = 40, 16, 1.2
 BEAM, SLACK = 12, 0.06
+UNSEEN = -2.0
+
+
+def matrix(vectors: pa.Array | list[bytes]) -> np.ndarray:
+    """Rows of doubles from binary vectors of one length."""
+    parts = vectors.to_pylist() if isinstance(vectors, pa.Array) else list(vectors)
+    return np.frombuffer(b"".join(parts), dtype=np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 1))
+
+
+def unit(values: list | np.ndarray | None) -> np.ndarray | None:
+    """The unit vector in double; None if null, empty, zero or with null or non-finite components."""
+    if values is None or not len(values):
+        return None
+    x = np.array(values, dtype=np.float64)  # a null component becomes nan
+    top = np.abs(x).max()
+    if not np.isfinite(x).all() or top == 0:
+        return None
+    x = x / top  # scaled first, so that squares stay in range
+    return x / np.sqrt(x @ x)
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, ok): unit vectors in double; not ok if null, empty, zero or with null or non-finite components."""
-    values = F.col("embedding").cast("array<double>")
-    fine = F.col("embedding").isNotNull() & (F.size(values) > 0) & F.forall(
-        values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    top = F.array_max(F.transform(values, lambda x: F.abs(x)))  # scaled first, so that squares stay in range
-    scaled = F.transform(values, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    ok = F.coalesce(fine & (top > 0), F.lit(False))
-    return vectors.select(F.col("vec_id").cast("bigint"), F.when(ok, F.transform(scaled, lambda x: x / norm)).alias("v"), ok.alias("ok"))
+    """(vec_id, size, h1, h2, v) of the rows that can link: length, 128-bit hash and bytes of the unit vector in double."""
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, 2048):
+            part = batch.slice(a, 2048)
+            rows = [(i, unit(x)) for i, x in zip(part.column("vec_id").to_pylist(), part.column("embedding").to_numpy(zero_copy_only=False))]
+            rows = [(i, len(x), x.tobytes()) for i, x in rows if i is not None and x is not None]
+            halves = [divmod(xxhash.xxh3_128_intdigest(v), 1 << 64) for _, _, v in rows]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([h - (1 << 63) for h, _ in halves], pa.int64()),
+                pa.array([h - (1 << 63) for _, h in halves], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["vec_id", "size", "h1", "h2", "v"])
+
+    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    return common.map_batches(rows, one, "vec_id bigint, size bigint, h1 bigint, h2 bigint, v binary")
 
 
 def centres(units: DataFrame, rows: int, shard: int = SHARD, sample: int = SAMPLE, seed: int = 5) -> np.ndarray:
@@ -44,9 +69,7 @@ def centres(units: DataFrame, rows: int, shard: int = SHARD, sample: int = SAMPL
     k = int(max(1, min(-(-rows // shard), sample // 8)))
     share = min(1.0, sample / max(1, rows))
     chosen = units.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * sample)
-    x = np.array([r.v for r in chosen.collect()], dtype=np.float64)
-    if not len(x):
-        x = np.array([r.v for r in units.select("v").limit(1).collect()], dtype=np.float64)
+    x = matrix([r.v for r in chosen.collect()] or [r.v for r in units.select("v").limit(1).collect()])
     c = x[np.random.default_rng(seed).permutation(len(x))[:k]]
     for _ in range(8):
         near = np.concatenate([np.argmax(x[a : a + 4096] @ c.T, axis=1) for a in range(0, len(x), 4096)])
@@ -64,15 +87,14 @@ def assigned(units: DataFrame, c: np.ndarray, overlap: int = OVERLAP) -> DataFra
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
-            x = np.stack(part.column("v").to_numpy(zero_copy_only=False))
-            order = np.argsort(-(x @ shared.value.T), axis=1)[:, :overlap]
+            order = np.argsort(-(matrix(part.column("v")) @ shared.value.T), axis=1)[:, :overlap]
             n, m = order.shape
             rows = pa.array(np.repeat(np.arange(n), m))
             yield pa.RecordBatch.from_arrays([
                 pa.array(order.ravel().astype(np.int64)), part.column("vec_id").take(rows), part.column("v").take(rows),
                 pa.array(np.tile(np.arange(m) == 0, n))], ["shard", "vec_id", "v", "home"])
 
-    return common.map_batches(units, one, "shard bigint, vec_id bigint, v array<double>, home boolean")
+    return common.map_batches(units.select("vec_id", "v"), one, "shard bigint, vec_id bigint, v binary, home boolean")
 
 
 def spread(members: DataFrame, largest: int = LARGEST) -> DataFrame:
@@ -116,7 +138,7 @@ def edges(members: DataFrame) -> DataFrame:
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
-        ids, x = frame.vec_id.to_numpy(), np.stack(frame.v.to_numpy())
+        ids, x = frame.vec_id.to_numpy(), matrix(frame.v)
         lists = robust_prune(x)
         u = np.repeat(ids, [len(p) for p in lists])
         v = ids[np.concatenate(lists)] if len(u) else u
@@ -131,63 +153,70 @@ def search(members: DataFrame, united: DataFrame, least: float = LEAST) -> DataF
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
-        ids, x = frame.vec_id.to_numpy(), np.stack(frame.v.to_numpy())
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        lists = [np.array([place[v] for v in (out if out is not None else ()) if v in place], dtype=np.int64) for out in frame["out"]]
+        ids, x = frame.vec_id.to_numpy(), matrix(frame.v)
+        lists = []
+        for out in frame["out"]:
+            known = np.array(out if out is not None else (), dtype=np.int64)
+            at = np.minimum(np.searchsorted(ids, known), len(ids) - 1)
+            lists.append(at[ids[at] == known])
         medoid = int(np.argmax(x @ x.mean(axis=0)))
+        score, opened = np.full(len(ids), UNSEEN), np.zeros(len(ids), dtype=bool)
         left, right = [], []
         for i in np.flatnonzero(frame.home.to_numpy()):
-            q, near = x[i], {}
             todo = np.unique([medoid, i])
-            opened: set[int] = set()
-            while len(todo):
-                near.update(zip(todo.tolist(), (x[todo] @ q).tolist()))
+            seen = np.zeros(0, dtype=np.int64)
+            while True:
+                score[todo] = x[todo] @ x[i]
+                seen = np.concatenate([seen, todo])
+                now = score[seen]
+                best = seen if len(seen) <= BEAM else seen[np.argpartition(-now, BEAM - 1)[:BEAM]]
                 # The beam's best and every node within the widened range are opened in turn.
-                best = sorted(near, key=near.get, reverse=True)
-                wide = [n for n in best[:BEAM] if n not in opened] or [n for n in best if near[n] >= least - SLACK and n not in opened]
-                if not wide:
-                    break
-                opened.update(wide)
-                found = np.unique(np.concatenate([lists[n] for n in wide]))
-                todo = np.array([n for n in found.tolist() if n not in near], dtype=np.int64)
-                while not len(todo):
-                    wide = [n for n in near if near[n] >= least - SLACK and n not in opened]
-                    if not wide:
+                wide = best[~opened[best]]
+                if not len(wide):
+                    wide = seen[(now >= least - SLACK) & ~opened[seen]]
+                    if not len(wide):
                         break
-                    opened.update(wide)
-                    found = np.unique(np.concatenate([lists[n] for n in wide]))
-                    todo = np.array([n for n in found.tolist() if n not in near], dtype=np.int64)
-            hits = [n for n, s in near.items() if s >= least and n != i]
-            left += [ids[i]] * len(hits)
-            right += ids[hits].tolist() if hits else []
-        a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+                opened[wide] = True
+                found = np.unique(np.concatenate([lists[n] for n in wide]))
+                todo = found[score[found] == UNSEEN]
+            hits = seen[(now >= least) & (seen != i)]
+            left.append(np.full(len(hits), ids[i]))
+            right.append(ids[hits])
+            score[seen], opened[seen] = UNSEEN, False
+        a, b = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in (left, right))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return joined.select("task", "vec_id", "v", "home", "out").groupBy("task").applyInPandas(walk, "a bigint, b bigint")
 
 
-def near_links(vectors: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def near_links(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(links between representatives, classes): links (a, b), classes (vec_id, rep, copies) of equal unit vectors."""
-    units = unit_rows(vectors).where("ok AND vec_id IS NOT NULL")
-    reps = common.stored(units.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "graph-units")
-    classes = units.join(reps.select("v", F.col("vec_id").alias("rep"), "copies"), "v").select("vec_id", "rep", "copies")
-    members = assigned(reps.select("vec_id", "v"), centres(reps, reps.count())) if reps.take(1) else None
-    if members is None:
-        empty = vectors.sparkSession.createDataFrame([], "a bigint, b bigint")
-        return empty, classes
-    members = common.stored(spread(common.stored(members, "graph-shards")), "graph-tasks")
-    united = edges(members).groupBy("u").agg(F.collect_set("v").alias("out"))  # DEGREE and the lists that name u
-    return common.stored(search(members, united, least).distinct(), "graph-links"), classes
+    units = common.stored(unit_rows(vectors), "graph-units")
+    if units.groupBy("vec_id").count().where("count > 1").take(1):
+        first = Window.partitionBy("vec_id").orderBy("size", "h1", "h2")
+        units = common.stored(units.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "graph-distinct")
+    sizes = units.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sizes = common.stored(sizes, "graph-classes")  # a plain side, so that a vector with very many copies can be split
+    classes = common.stored(units.select("vec_id", "h1", "h2").join(sizes, ["h1", "h2"]).select("vec_id", "rep", "copies"), "graph-copies")
+    reps = common.stored(units.join(sizes.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi").select("vec_id", "size", "v"), "graph-reps")
+    links = vectors.sparkSession.createDataFrame([], "a bigint, b bigint")
+    for r in reps.groupBy("size").count().orderBy("size").collect():  # vectors of each length have their own graph; mostly there is one
+        own = reps.where(F.col("size") == r["size"])
+        members = common.stored(spread(common.stored(assigned(own, centres(own, r["count"], shard)), "graph-shards")), "graph-tasks")
+        united = edges(members).groupBy("u").agg(F.collect_set("v").alias("out"))  # DEGREE and the lists that name u
+        links = links.unionByName(common.stored(search(members, united, least).distinct(), "graph-links"))
+    return links, classes
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Vectors that are null, zero, empty or have null or non-finite components link with nothing; so do rows without an id,
-    whose component is null. Equal vectors are linked by class and take part in the graph once.
+    Vectors that are null, zero, empty or have null or non-finite components link with nothing, nor do vectors of different
+    lengths; so do rows without an id, whose component is null. Equal vectors are linked by class and take part in the graph
+    once. Rows that share an id are one vector, the one of the smallest length and hash, and all get its result. An empty
+    table gives no rows; other columns are not read.
     """
     links, classes = near_links(vectors, least)
-    classes = common.stored(classes, "graph-classes")
     copies = classes.groupBy("rep").agg(F.max("copies").alias("copies"))
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     others = both.join(copies, both["y"] == copies["rep"]).groupBy("x").agg(F.sum("copies").alias("far"))
@@ -204,29 +233,31 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 def audit_recall(vectors: DataFrame, links: DataFrame, classes: DataFrame, every: int = 50, least: float = LEAST, block: int = 2048) -> tuple[int, int]:
     """(found, true) links of the queries, the rows whose id is divisible by ``every``, against all rows in blocks.
 
-    One block of at most ``block`` queries at a time is sent to all tasks; only counts come back.
+    One block of at most about ``block`` queries of one length at a time is sent to all tasks; only counts come back.
     """
-    units = cut_lineage(unit_rows(vectors).where("ok AND vec_id IS NOT NULL").select("vec_id", "v"))
+    units = cut_lineage(unit_rows(vectors).select("vec_id", "size", "v"))
     asked = units.where(F.pmod("vec_id", F.lit(every)) == 0)
-    parts = max(1, -(-asked.count() // block))
     known = found = 0
-    for part in range(parts):
-        queries = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).collect()
-        if not queries:
-            continue
-        shared = vectors.sparkSession.sparkContext.broadcast(([r.vec_id for r in queries], np.array([r.v for r in queries])))
-
-        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, q.shape[1]))
-            i, j = np.nonzero(x @ q.T >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), pa.array(np.array(ids, dtype=np.int64)[j])], ["x", "q"])
-
-        true = common.map_batches(units, one, "x bigint, q bigint").where("x <> q")
-        reps = classes.select("vec_id", "rep")
-        named = true.join(reps.toDF("x", "rx"), "x").join(reps.toDF("q", "rq"), "q")
-        got = links.select("a", "b", F.lit(1).alias("hit"))
-        pair = named.withColumn("a", F.least("rx", "rq")).withColumn("b", F.greatest("rx", "rq")).join(got, ["a", "b"], "left")
-        row = pair.agg(F.count(F.lit(1)), F.count(F.when((F.col("hit") == 1) | (F.col("rx") == F.col("rq")), 1))).first()
-        known, found = known + row[0], found + row[1]
+    for r in asked.groupBy("size").count().collect():
+        parts = max(1, -(-r["count"] // block))
+        for part in range(parts):
+            queries = asked.where((F.col("size") == r["size"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)).collect()
+            if not queries:
+                continue
+            shared = vectors.sparkSession.sparkContext.broadcast((np.array([q.vec_id for q in queries]), matrix([q.v for q in queries])))
+
+            def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+                ids, q = shared.value
+                for a in range(0, batch.num_rows, 2048):
+                    some = batch.slice(a, 2048)
+                    i, j = np.nonzero(matrix(some.column("v")) @ q.T >= least)
+                    yield pa.RecordBatch.from_arrays([some.column("vec_id").take(pa.array(i)), pa.array(ids[j])], ["x", "q"])
+
+            true = common.map_batches(units.where(F.col("size") == r["size"]).select("vec_id", "v"), one, "x bigint, q bigint").where("x <> q")
+            reps = classes.select("vec_id", "rep")
+            named = true.join(reps.toDF("x", "rx"), "x").join(reps.toDF("q", "rq"), "q")
+            got = links.select("a", "b", F.lit(1).alias("hit"))
+            pair = named.withColumn("a", F.least("rx", "rq")).withColumn("b", F.greatest("rx", "rq")).join(got, ["a", "b"], "left")
+            row = pair.agg(F.count(F.lit(1)), F.count(F.when((F.col("hit") == 1) | (F.col("rx") == F.col("rq")), 1))).first()
+            known, found = known + row[0], found + row[1]
     return found, known

@@ -112,14 +112,15 @@ def negative_conditional_entropy(df: DataFrame, order: str = "row_id", label: st
 def gramian(df: DataFrame, features: str = "features") -> DataFrame:
     """(client_id, n, means, second) for every silo and Global: Σx/n and Σxxᵀ, d×d numbers per silo.
 
-    Tasks multiply their batches with NumPy; Global is the sum of the silos' sums. It is a small checkpointed table.
+    Tasks multiply their batches with NumPy; Global is the sum of the silos' sums. It is a small checkpointed table. Rows
+    without a vector are left out; a null silo is one of its own and part of Global.
     """
 
     def statistics(_, rows: pd.DataFrame) -> np.ndarray:
         x = np.stack(rows[features].to_numpy())
         return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
-    sums = partial_sums(df.select("client_id", features), statistics)
+    sums = partial_sums(df.select("client_id", features).where(F.col(features).isNotNull()), statistics)
     both = with_global_silo(sums).groupBy("client_id", "pos").agg(F.sum("value").alias("value"))
     listed = both.groupBy("client_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("v")

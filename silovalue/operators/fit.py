@@ -24,7 +24,7 @@ from silovalue.functions.lineage import cut_lineage
 from silovalue.operators.metrics import EPSILON, cross_entropy
 
 MAX_PARAMETERS = 20_000_000
-FLUSH_GROUPS = 256
+FLUSH_NUMBERS = 4_000_000
 
 Models = dict[object, np.ndarray]
 
@@ -56,17 +56,19 @@ def partial_sums(
     """(group, pos, value): element-wise sum over all rows of ``statistics(group, rows)``, a flat vector.
 
     Every task adds up per group while it streams over its batches; the vectors are summed by position afterwards, so a
-    group that holds a third of the rows is spread over all tasks.
+    group that holds a third of the rows is spread over all tasks. Rows of a null group are a group of their own. A task
+    hands its sums on when they hold ``FLUSH_NUMBERS`` numbers, so its memory does not grow with the number of groups.
     """
     kind = dict(df.dtypes)[group]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
         for batch in batches:
-            for key, rows in batch.groupby(group, sort=False):
+            for key, rows in batch.groupby(group, sort=False, dropna=False):
+                key = None if pd.isna(key) else key
                 found = statistics(key, rows)
                 sums[key] = sums[key] + found if key in sums else found
-            if len(sums) >= FLUSH_GROUPS:
+            if sum(v.size for v in sums.values()) >= FLUSH_NUMBERS:
                 yield pd.DataFrame({group: list(sums), "sums": [v.tolist() for v in sums.values()]})
                 sums = {}
         if sums:
@@ -88,7 +90,8 @@ def _collect_vectors(sums: DataFrame, group: str = "client_id") -> dict[object,
 def gradient_sums(df: DataFrame, models: Models, loss: str = "CE") -> DataFrame:
     """(client_id, pos, value): position 0 rows, 1 loss sum, then the gradient sum of the silo's model, row by row.
 
-    ``df`` is (client_id, features, target). Losses: CE (softmax), MAE and MSE (linear).
+    ``df`` is (client_id, features, target); rows that lack one of them have no model or no slope and are left out. Losses:
+    CE (softmax), MAE and MSE (linear).
     """
     _check_size(models)
     shipped = df.sparkSession.sparkContext.broadcast(models)
@@ -108,7 +111,8 @@ def gradient_sums(df: DataFrame, models: Models, loss: str = "CE") -> DataFrame:
             cost, slope = ((scores - y) ** 2).sum(), 2 * (scores - y)
         return np.concatenate([[len(x), cost], (slope.T @ x).ravel()])
 
-    return partial_sums(df.select("client_id", "features", "target"), statistics)
+    usable = F.col("client_id").isNotNull() & F.col("features").isNotNull() & F.col("target").isNotNull()
+    return partial_sums(df.select("client_id", "features", "target").where(usable), statistics)
 
 
 def loss_gradient(df: DataFrame, models: Models, loss: str = "CE") -> DataFrame:
@@ -181,7 +185,8 @@ def class_outcomes(df: DataFrame, models: Models) -> DataFrame:
         n_models, k, _ = w.shape
         sums: dict[object, np.ndarray] = {}
         for batch in batches:
-            for key, rows in batch.groupby("client_id", sort=False):
+            for key, rows in batch.groupby("client_id", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
                 x = with_bias(np.stack(rows["features"].to_numpy()))
                 true = np.stack(rows["target"].to_numpy()).argmax(axis=1)
                 cell = sums.setdefault(key, np.zeros((2, n_models, k, k)))
@@ -191,7 +196,7 @@ def class_outcomes(df: DataFrame, models: Models) -> DataFrame:
                     ce = -np.log(np.clip(p[np.arange(len(x)), true], EPSILON, 1 - EPSILON))
                     np.add.at(cell[0, m], (true, predicted), 1)
                     np.add.at(cell[1, m], (true, predicted), ce)
-            if len(sums) >= FLUSH_GROUPS:
+            if sum(c.size for c in sums.values()) >= FLUSH_NUMBERS:
                 yield _table(sums)
                 sums = {}
         if sums:
@@ -208,7 +213,8 @@ def class_outcomes(df: DataFrame, models: Models) -> DataFrame:
         return pd.concat(parts)
 
     schema = f"model string, client_id {kind}, true int, predicted int, n bigint, ce double"
-    partial = df.select("client_id", "features", "target").mapInPandas(run, schema)
+    usable = F.col("features").isNotNull() & F.col("target").isNotNull()
+    partial = df.select("client_id", "features", "target").where(usable).mapInPandas(run, schema)
     return partial.groupBy("model", "client_id", "true", "predicted").agg(F.sum("n").alias("n"), F.sum("ce").alias("ce"))
 
 

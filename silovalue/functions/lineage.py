@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 << 20
 
@@ -30,9 +30,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def measured_bytes(table: DataFrame) -> int:
-    """Size of a checkpointed table as text, which is more than what its rows take in memory as numbers."""
-    return table.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0] or 0
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: its strings and arrays, and 16 bytes for each other value."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary", "varchar", "char"):
+            own = F.octet_length(column) + 16
+        elif kind == "array" and field.dataType.elementType.typeName() in ("double", "float", "long", "integer"):
+            own = 8 * F.size(column) + 32
+        elif kind in ("array", "map", "struct", "variant"):
+            own = F.length(F.to_json(F.struct(column))) * 2 + 32
+        else:
+            own = F.lit(16)
+        total = total + F.coalesce(own.cast("bigint"), F.lit(16).cast("bigint"))
+    return total
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint and the bytes of its rows, added up by the job that writes it."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.sum(row_bytes(df)).alias("bytes")))
+    return table, seen.get["bytes"] or 0
 
 
 def control_table(df: DataFrame) -> DataFrame:
@@ -49,8 +68,8 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     It is checkpointed and measured. Up to ``limit`` bytes are broadcast, so that the rows of the other side are not
     shuffled by a key that may be skewed; anything larger stays an ordinary join side, with the same result.
     """
-    table = cut_lineage(df)
-    return F.broadcast(table) if measured_bytes(table) <= limit else table
+    table, size = measured(df)
+    return F.broadcast(table) if size <= limit else table
 
 
 def partitioned_copy(df: DataFrame, by: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for table_ in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table_.inputFiles()}:
+            path = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,6 +87,27 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(total + np.uint64(k))
 
 
+def shingles_of(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """``shingle_hashes`` of the words of each text, the words of all texts hashed in one go."""
+    words = [(text or "").encode("utf-8", "surrogatepass").lower().split() for text in texts]
+    ends = np.cumsum([len(w) for w in words])
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(ends[-1]) if len(ends) else 0)
+    places = max(0, len(flat) - k + 1)
+    total = np.zeros(places, dtype=np.uint64)
+    for j in range(k):
+        total += mixed(flat[j : j + places] + np.uint64(j + 1)) * np.uint64(2 * j + 1)
+    total = mixed(total + np.uint64(k))
+    for end, own in zip(ends.tolist(), words):
+        n = len(own)
+        yield total[end - n : end - k + 1] if n >= k else shingle_hashes(flat[end - n : end], k)
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    found = np.sort(hashes)
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+
 class Tokens:
     """Ids of a public tokenizer for many texts.
 

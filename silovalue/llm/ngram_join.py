@@ -2,9 +2,10 @@
 
 Any two linked sets share one of their first shingles in a common order (prefix filter), so each document is listed under
 its first shingles: a tile is a shingle with the documents listed under it, ordered by set size. Within a tile only sizes
-within the ratio meet; a hashed bitmap of each set bounds the overlap from above by bit counts; what passes is decided by
-intersecting the sorted arrays of 64-bit shingle hashes. Very common shingles are moved to the end of the order, and tiles
-whose documents are connected already are done, so large groups of copies need no pairs.
+within the ratio meet, where the shingle's places in both orders leave enough to share; a hashed bitmap of each set bounds
+the overlap from above by bit counts; what passes is decided by intersecting the sorted arrays of 64-bit shingle hashes. Very
+common shingles are moved to the end of the order, and tiles whose documents are connected already are done, so large groups
+of copies need no pairs. What counts as common, and from which sizes on tiles are treated as large, changes the work only.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ MASKED_FROM = 32
 COMMON_FROM = 64
 MAX_COMMON = 200_000
 TILE_BLOCK = 2048
-FILTER_SLOTS = 1 << 26
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 28  # of a filter: 16 for each key within these, so at most 32 MB
 BITMAP_SLOT = 32_768
 
 
@@ -69,8 +70,9 @@ def linked(common_: int, n: int, m: int, least: int) -> bool:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        yield doc, np.unique(common.shingle_hashes(common.word_hashes(text), k))
+    for part in common.slices(batch):
+        for doc, hashes in zip(part.column("doc_id").to_pylist(), common.shingles_of(part.column("text").to_pylist(), k)):
+            yield doc, common.distinct(hashes)
 
 
 def summaries(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -89,15 +91,12 @@ def summaries(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFram
     return common.map_batches(docs, one, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits binary, mask binary, leads array<bigint>")
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(FILTER_SLOTS)).cast("bigint")
-
-
-def slot_filter(keys: DataFrame, key: str) -> bytes:
-    """A bit for each slot that holds a key: 8 MB at most, whatever the number of keys. False hits are possible only."""
-    slots = keys.select(_slot(F.col(key)).alias("s"))
+def slot_filter(keys: DataFrame, key: str, most: int = MOST_SLOTS) -> bytes:
+    """A bit for each slot that holds a key, 16 slots for a key if so many are allowed. False hits are possible only."""
+    size = min(most, max(LEAST_SLOTS, 1 << (16 * keys.count()).bit_length()))
+    slots = keys.select(F.pmod(F.col(key), F.lit(size)).cast("bigint").alias("s"))
     parts = slots.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
-    whole = bytearray(FILTER_SLOTS // 8)
+    whole = bytearray(size // 8)
     for r in parts:
         if r.b == 0:  # slot 0 alone, which the filter always lets through
             continue
@@ -113,65 +112,77 @@ class Slots:
         self.bits = np.frombuffer(data, dtype=np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        s = np.mod(keys.view(np.int64), FILTER_SLOTS)
+        s = np.mod(keys.view(np.int64), 8 * len(self.bits))
         # Position s lies in bucket s // 32768 + 1 (s > 0), bit (s - 1) modulo 32768 by Spark's numbering.
         p = np.maximum(s - 1, 0)
         return ((self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) | (s == 0)
 
 
-def postings(docs: DataFrame, k: int, least: int, rare_only: bytes | None, heavy: np.ndarray) -> DataFrame:
-    """(key, doc_id, n): each set listed under its first shingles in the order (common ones last, then by hash).
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of the values are in the sorted table."""
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+PLAIN, LATER, LISTED = "plain", "later", "listed"
 
-    Without a filter only the keys are given, to be counted. With one, keys that no other document can have are left out.
+
+def postings(docs: DataFrame, k: int, least: int, kind: str, heavy: np.ndarray | None = None, plain: bytes = b"", later: bytes = b"") -> DataFrame:
+    """Keys under which each set is listed: its first shingles, in the order of hashes with the heavy ones moved to the end.
+
+    ``plain``: (key) of the order without moves, to be counted. ``later``: (key) of those that moves have brought in.
+    ``listed``: (key, doc_id, n, place) of all but the keys that no other document can have: a key of the order without
+    moves stays if it was counted twice there or if a move has brought it in somewhere; a key brought in always stays.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((rare_only, heavy))
-    names = ["key"] if rare_only is None else ["key", "doc_id", "n"]
+    shared = docs.sparkSession.sparkContext.broadcast((heavy if heavy is not None else np.zeros(0, np.uint64), plain, later))
+    names = ["key", "doc_id", "n", "place"] if kind == LISTED else ["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, heavy_now = shared.value
-        slots = None if data is None else Slots(data)
-        seen: set[int] = set()  # exact copies within a task are listed once; the class edges join them
-        for batch in batches:
-            keys, ids, sizes = [], [], []
-            for doc, s in _sets(batch, k):
+        heavy_now, plain_now, later_now = shared.value
+        counted, brought = (Slots(plain_now), Slots(later_now)) if kind == LISTED else (None, None)
+        seen = np.zeros(1 << 16, dtype=np.uint64)  # copies within a task are mostly listed once; the class edges join them
+
+        def lists(part: pa.RecordBatch) -> pa.RecordBatch:
+            found: list[tuple[np.ndarray, ...]] = []
+            for doc, s in _sets(part, k):
                 if doc is None or not len(s):
                     continue
                 mark = xxhash.xxh3_64_intdigest(s.tobytes())
-                if mark in seen:
+                if seen[mark & 0xFFFF] == mark:
                     continue
-                if len(seen) < 500_000:
-                    seen.add(mark)
+                seen[mark & 0xFFFF] = mark
                 p = prefix_length(len(s), least)
-                if len(heavy_now):
-                    at = np.minimum(np.searchsorted(heavy_now, s), len(heavy_now) - 1)
-                    often = heavy_now[at] == s
-                    first = s[:p] if not often[:p].any() else np.concatenate([s[~often], s[often]])[:p]
-                else:
-                    first = s[:p]
-                if slots is not None:
-                    # Keys past the plain prefix were not counted, so they are always listed.
-                    first = first[slots.has(first) | (first > s[p - 1])]
-                keys.append(first)
-                ids.append(np.full(len(first), doc, dtype=np.int64))
-                sizes.append(np.full(len(first), len(s), dtype=np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            columns = [pa.array(flat.view(np.int64))]
-            if slots is not None:
-                columns += [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (ids, sizes)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                first, moved = s[:p], among(s[:p], heavy_now).any()
+                if moved:
+                    often = among(s, heavy_now)
+                    first = np.concatenate([s[~often], s[often]])[:p]
+                if kind == LATER:
+                    first = first[first > s[p - 1]] if moved else first[:0]
+                place = np.arange(len(first))
+                if kind == LISTED:
+                    stays = counted.has(first) | brought.has(first) | (first > s[p - 1])
+                    first, place = first[stays], place[stays]
+                found.append((first.view(np.int64), np.full(len(first), doc), np.full(len(first), len(s)), place))
+            flat = [np.concatenate(c).astype(np.int64) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((),) * 4)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in flat[: len(names)]], names)
+
+        for batch in batches:
+            for part in common.slices(batch):
+                yield lists(part)
 
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of each tile, rows sorted by tile and size: only sizes within the ratio meet, and other components,
-    and in larger tiles only sets whose masks allow the overlap.
+    and places that leave enough, as if the tile's shingle were their first common one; in larger tiles masks must allow it too.
 
     Rows that can still meet later ones are carried from batch to batch.
     """
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
-        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "doc_id", "n", "c", "side")}
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "doc_id", "n", "place", "c", "side")}
         masks = batch.column("mask").to_pylist()
         new["masked"] = np.array([m is not None for m in masks], dtype=bool)
         new["mask"] = np.frombuffer(b"".join(m or bytes(8 * MASK_WORDS) for m in masks), dtype=np.uint64).reshape(-1, MASK_WORDS)
@@ -186,6 +197,8 @@ def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
                 break
             hit = meet & (rows["c"][early] != rows["c"][later])
             hit &= (rows["side"][early] != rows["side"][later]) | (rows["side"][later] == 2)
+            total_n, most = rows["n"][early] + rows["n"][later], np.minimum((rows["n"] - rows["place"])[early], (rows["n"] - rows["place"])[later])
+            hit &= 100 * most >= least * (total_n - most)
             seen = np.flatnonzero(hit & rows["masked"][early])
             if len(seen):
                 x, y = early[seen], later[seen]
@@ -201,7 +214,7 @@ def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
 
 
 def _tiles(listed: DataFrame, slim: DataFrame, block: int) -> DataFrame:
-    """(tile, doc_id, n, c, side, mask) of tiles with documents of several components; large tiles are cut in pairs of blocks."""
+    """(tile, doc_id, n, place, c, side, mask) of tiles with documents of several components; large tiles are cut in pairs of blocks."""
     stats = listed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 < c1")
     open_ = listed.join(stats.select("key", "rows"), "key")
     masks = slim.select(F.col("doc_id").alias("d"), "mask").dropDuplicates(["d"])
@@ -214,15 +227,16 @@ def _tiles(listed: DataFrame, slim: DataFrame, block: int) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     tile = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
     # On the diagonal all meet all; elsewhere only the two blocks meet.
-    return spread.select(tile.alias("tile"), "doc_id", "n", "c", side.alias("side"), "mask")
+    return spread.select(tile.alias("tile"), "doc_id", "n", "place", "c", side.alias("side"), "mask")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least: int, sets: DataFrame | None = None) -> DataFrame:
-    """The pairs that are linked: first by the bitmaps' bound, then by the exact intersection."""
+    """The stored pairs that are linked: first by the bitmaps' bound, then by the exact intersection.
+
+    Both sides of each join are plain shuffles, so that adaptive execution can split those of a document with many pairs.
+    """
     sketch = slim.select("doc_id", "n_shingles", "bits")
-    left = sketch.toDF("a", "na", "xa").dropDuplicates(["a"])
-    right = sketch.toDF("b", "nb", "xb").dropDuplicates(["b"])
-    near = pairs.join(left, "a").join(right, "b")
+    near = pairs.join(sketch.toDF("a", "na", "xa"), "a").join(sketch.toDF("b", "nb", "xb"), "b")
 
     def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb")]
@@ -230,23 +244,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     passed = common.stored(common.map_batches(near, bounded, "a bigint, b bigint"), "join-passed")
-    if sets is None:
-        sets = arrays_of(docs, passed.select(F.explode(F.array("a", "b")).alias("d")), k)
-    both = passed.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    own = common.stored(arrays_of(docs, passed.select(F.explode(F.array("a", "b")).alias("d")), k), "join-arrays") if sets is None else sets
+    both = passed.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
 
     def exact(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), least))
+        for x, y in zip(batch.column("sa"), batch.column("sb")):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            keep.append(linked(int(among(x, y).sum()), len(x), len(y), least))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return common.map_batches(both, exact, "a bigint, b bigint")
+    links = common.stored(common.map_batches(both, exact, "a bigint, b bigint"), "join-links")
+    common.discard(passed, *([own] if sets is None else []))
+    return links
 
 
 def arrays_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, s): sorted shingle hashes of the documents with these ids (column d), and of few others at most."""
-    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(ids, "d"))
+    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(ids.distinct(), "d"))
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -254,7 +269,7 @@ def arrays_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         rows = [(d, s.tobytes()) for d, s in _sets(part, k) if d is not None and len(s)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "s"])
 
-    return common.map_batches(docs, one, "doc_id bigint, s binary").dropDuplicates(["doc_id"])
+    return common.map_batches(docs, one, "doc_id bigint, s binary")
 
 
 def dense_links(leads: DataFrame, known: DataFrame, docs: DataFrame, slim: DataFrame, k: int, least: int) -> list[DataFrame]:
@@ -269,11 +284,12 @@ def dense_links(leads: DataFrame, known: DataFrame, docs: DataFrame, slim: DataF
     if not members.take(1):
         return []
     sets, found = common.stored(arrays_of(docs, members.select(F.col("doc_id").alias("d")), k), "join-dense-sets"), []
+    before = members
     for r in range(DENSE_ROUNDS):
         lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "doc_id").alias("h"), "doc_id", "c")).alias("l"))
         tried = members.join(lead, "key").where("c <> l.c").select(
             F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
-        new = common.stored(_verified(tried, docs, slim, k, least, sets), "join-dense-links")
+        new = _verified(tried, docs, slim, k, least, sets)
         if not new.take(1):
             break
         found.append(new)
@@ -281,6 +297,9 @@ def dense_links(leads: DataFrame, known: DataFrame, docs: DataFrame, slim: DataF
         joined = new.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = common.components(joined).toDF("c", "to")
         members = common.stored(members.join(merged, "c", "left").select("doc_id", "key", F.coalesce("to", "c").alias("c")), "join-dense")
+        common.discard(before)
+        before = members
+    common.discard(sets, before)
     return found
 
 
@@ -288,13 +307,19 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents linked by 100 |A and B| >= least |A or B|.
 
     Fewer than k words are one shingle; no words or null text: size 0, linked with nothing. Rows that share a doc_id are
-    one document of several sets, linked by it. A null doc_id links with nothing and has a null component.
+    one document of several sets, linked by it. A null doc_id links with nothing and has a null component. Other columns
+    are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    slim = common.stored(summaries(docs, k, least), "join-sets")
-    usable = slim.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    whole = common.stored(summaries(docs, k, least), "join-sets")
+    usable = whole.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    if usable.groupBy("doc_id", "n_shingles", "f1", "f2").count().where("count > 1").take(1):  # each repeated row once from here on
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        usable = common.stored(usable.dropDuplicates(["doc_id", "n_shingles", "f1", "f2"]), "join-distinct")
+    slim = usable
     classes = usable.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    same = usable.join(classes, ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    same = usable.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"]).select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     edges = common.stored(same, "join-same")
 
     # Most members of large groups share one of their first shingles with the group's smallest member.
@@ -302,25 +327,31 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     leads = common.stored(reps.select("doc_id", F.explode("leads").alias("key")), "join-leads")
     leader = leads.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     first = leads.join(leader, "key").where("b < doc_id").groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
-    near = common.stored(_verified(first, docs, slim, k, least), "join-near")
-    known = common.components(edges.unionByName(near))
-    for more in dense_links(leads, known, docs, slim, k, least):
-        near = near.unionByName(more)
+    near = _verified(common.stored(first, "join-first"), docs, slim, k, least)
     known = common.components(edges.unionByName(near))
+    more = dense_links(leads, known, docs, slim, k, least)
+    for links in more:
+        near = near.unionByName(links)
+    known = common.components(edges.unionByName(near)) if more else known
+    common.discard(leads)
 
-    counted = postings(docs, k, least, None, np.zeros(0, np.uint64)).groupBy("key").count().where("count > 1")
+    counted = postings(docs, k, least, PLAIN).groupBy("key").count().where("count > 1")
     counted = common.stored(counted, "join-keys")
     bounds = counted.where(F.col("count") > COMMON_FROM).orderBy(F.desc("count"), "key").limit(MAX_COMMON)
     heavy = np.sort(np.array([r.key for r in bounds.select("key").collect()], dtype=np.int64).view(np.uint64))
-    listed = postings(docs, k, least, slot_filter(counted, "key"), heavy)
+    later = common.stored(postings(docs, k, least, LATER, heavy).distinct(), "join-later")
+    listed = postings(docs, k, least, LISTED, heavy, slot_filter(counted, "key"), slot_filter(later, "key"))
     listed = listed.join(known.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     listed = common.stored(listed, "join-listed")
+    common.discard(counted, later)
     tiles = _tiles(listed, slim, TILE_BLOCK)
     ordered = tiles.repartition(common.width(docs.sparkSession), "tile").sortWithinPartitions("tile", "n", "doc_id")
     pairs = ordered.mapInArrow(lambda b: sized_pairs(b, least), "a bigint, b bigint").where("a <> b").distinct()
-    more = _verified(common.stored(pairs, "join-pairs"), docs, slim, k, least)
-    found = common.components(edges.unionByName(near).unionByName(more))
-    return slim.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select(
+    pairs = common.stored(pairs, "join-pairs")
+    common.discard(listed)
+    found = common.components(edges.unionByName(near).unionByName(_verified(pairs, docs, slim, k, least)))
+    common.discard(pairs)
+    return whole.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

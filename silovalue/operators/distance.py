@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -73,25 +74,67 @@ def hellinger(df: DataFrame, label: str = "label") -> DataFrame:
     return pairs.select("src", "tgt", F.sqrt(gap / 2).alias("value"))
 
 
-def negative_conditional_entropy(df: DataFrame, order: str = "row_id", label: str = "label") -> DataFrame:
-    """(src, tgt, value): labels paired by position in row order, Σ P(z) Σ_y P(y|z) ln P(y|z) with +1e-20.
+JOINT_NUMBERS = 4_000_000  # of the table of joint counts that a task holds for one block of sources
+
 
-    Pairing stops at the shorter side; the joint is divided by the rows of the source. A row of the source meets at most
-    one row of each target, by an equi-join on the position. y runs over classes up to the largest one of the target.
+def paired_label_counts(df: DataFrame, order: str = "row_id", label: str = "label") -> DataFrame:
+    """(src, tgt, z, y, n): how often the source's label z and the target's label y stand at the same place in row order.
+
+    The labels of one place, one of each silo and one of Global at most, are gathered in one row; a task turns its rows into
+    one-hot vectors and adds up their products, so that all pairs of silos are counted in one matrix product and only counts
+    leave the task. Rows without a label or a silo keep their place but pair with nothing.
     """
+    spark = df.sparkSession
+    silos = sorted(str(r[0]) for r in df.select("client_id").where("client_id IS NOT NULL").distinct().limit(MAX_SILOS + 1).collect())
+    if len(silos) > MAX_SILOS:
+        raise ValueError(f"more than {MAX_SILOS} silos")
+    labels = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+    names, k = [*silos, GLOBAL], len(labels)
     own = quantile_bucket(df.select("client_id", order, label), [order], ["_place"])
     local = ordered_rank(own, ["client_id"], order, "_pos", "_place").withColumn("client_id", F.col("client_id").cast("string"))
     pooled = ordered_rank(own, [], order, "_pos", "_place").withColumn("client_id", F.lit(GLOBAL))
-    source = local.select(F.col("client_id").alias("src"), "_pos", F.col(label).alias("z"))
-    target = local.unionByName(pooled.select(*local.columns)).select(
-        F.col("client_id").alias("tgt"), "_pos", F.col(label).alias("y")
-    )
-    joint = control_table(source.join(target, "_pos").groupBy("src", "tgt", "z", "y").agg(F.count(F.lit(1)).alias("n")))
-    sizes = df.groupBy(F.col("client_id").cast("string").alias("src")).agg(F.count(F.lit(1)).alias("rows"))
-    labels = distinct_list(df.groupBy(label).count(), label)
-    per_label = df.groupBy(F.col("client_id").cast("string").alias("tgt"), label).agg(F.lit(1).alias("one"))
-    largest = per_label.groupBy("tgt").agg(F.max(label).alias("top"))
-    everywhere = per_label.agg(F.lit(GLOBAL).alias("tgt"), F.max(label).alias("top"))
+    place = lambda values, column: F.array_position(F.array(*[F.lit(v) for v in values]), column).cast("int") - 1
+    coded = local.unionByName(pooled.select(*local.columns)).where(F.col("client_id").isNotNull() & F.col(label).isNotNull()).select(
+        "_pos", (place(names, F.col("client_id")) * k + place(labels, F.col(label))).alias("code"))
+    gathered = coded.groupBy("_pos").agg(F.collect_list("code").alias("codes")).select("codes")  # one for each silo at most
+    wide = len(names) * k
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(k, JOINT_NUMBERS // max(1, wide) // max(1, k) * k)
+        sums = {a: np.zeros((min(step, len(silos) * k - a), wide)) for a in range(0, len(silos) * k, step)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, JOINT_NUMBERS // max(1, wide))):
+                codes = batch.column("codes").slice(at, max(1, JOINT_NUMBERS // max(1, wide)))
+                hot = np.zeros((len(codes), wide), dtype=np.float32)
+                sizes = codes.value_lengths().to_numpy(zero_copy_only=False)
+                hot[np.repeat(np.arange(len(codes)), sizes), codes.flatten().to_numpy(zero_copy_only=False)] = 1
+                for a, found in sums.items():
+                    found += hot[:, a : a + len(found)].T @ hot
+        for a, found in sums.items():
+            i, j = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array((i + a).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(found[i, j].astype(np.int64))], ["s", "t", "n"])
+
+    counted = gathered.mapInArrow(count, "s int, t int, n bigint").groupBy("s", "t").agg(F.sum("n").alias("n"))
+    name = lambda values, column: F.element_at(F.array(*[F.lit(v) for v in values]), (column + 1).cast("int"))
+    if not names or not k:
+        return spark.createDataFrame([], f"src string, tgt string, z {dict(df.dtypes)[label]}, y {dict(df.dtypes)[label]}, n bigint")
+    return counted.select(
+        name(names, F.floor(F.col("s") / k)).alias("src"), name(names, F.floor(F.col("t") / k)).alias("tgt"),
+        name(labels, F.col("s") % k).alias("z"), name(labels, F.col("t") % k).alias("y"), "n")
+
+
+def negative_conditional_entropy(df: DataFrame, order: str = "row_id", label: str = "label") -> DataFrame:
+    """(src, tgt, value): labels paired by position in row order, Σ P(z) Σ_y P(y|z) ln P(y|z) with +1e-20.
+
+    Pairing stops at the shorter side; the joint is divided by the rows of the source. y runs over classes up to the largest
+    one of the target. Sizes and classes come from one count of silo and class.
+    """
+    cells = control_table(df.groupBy(F.col("client_id").cast("string").alias("client_id"), label).agg(F.count(F.lit(1)).alias("n")))
+    joint = control_table(paired_label_counts(df, order, label))
+    sizes = cells.groupBy(F.col("client_id").alias("src")).agg(F.sum("n").alias("rows"))
+    labels = distinct_list(cells, label)
+    largest = cells.groupBy(F.col("client_id").alias("tgt")).agg(F.max(label).alias("top"))
+    everywhere = cells.agg(F.lit(GLOBAL).alias("tgt"), F.max(label).alias("top"))
     width = largest.unionByName(everywhere).withColumn("a", labels.scalar()).select(
         "tgt", F.array_position("a", F.col("top")).alias("classes")
     )

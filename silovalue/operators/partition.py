@@ -6,19 +6,18 @@ silo owns a range of ranks; no row is drawn twice and nothing row-sized is sorte
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from silovalue.functions.hashing import row_hash
-from silovalue.functions.lineage import partitioned_copy, small_side
+from silovalue.functions.lineage import small_side
 from silovalue.functions.ranking import hash_rank
 from silovalue.operators.count_model import distinct_list
+from silovalue.operators.fit import partial_sums
 from silovalue.sources.tables import sink_partition
 
+MAX_CENTRE_NUMBERS = 20_000_000
 QUOTA_SCHEMA = "client_id bigint, label string, split string, n bigint"
 
 
@@ -299,36 +298,98 @@ def partition_maverick_category(
     return spread.unionByName(special.select(*spread.columns))
 
 
+Centres = dict[object, np.ndarray]  # class -> clusters × features
+
+
+def first_centres(
+    df: DataFrame, k: int, seed: int = 1, features: str = "features", label: str = "label", id_col: str = "row_id", candidates: int = 16
+) -> Centres:
+    """For each class k of its ``candidates`` × k rows of smallest hash: the first, then always the one farthest from those taken.
+
+    With ``candidates`` 1 they are the k rows of smallest hash. A class with fewer rows has fewer centres.
+    """
+    hashed = df.where(F.col(features).isNotNull()).select(label, F.col(features).cast("array<double>").alias("v"), row_hash(seed, id_col).alias("_h"), id_col)
+    drawn = hashed.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col))).where(F.col("_n") <= candidates * k)
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_n")
+        x = np.stack(frame["v"].to_numpy())
+        taken = [0] if candidates > 1 else list(range(min(k, len(x))))
+        gap = ((x - x[0]) ** 2).sum(axis=1)
+        while len(taken) < min(k, len(x)):
+            taken.append(int(np.argmax(gap)))
+            gap = np.minimum(gap, ((x - x[taken[-1]]) ** 2).sum(axis=1))
+        return pd.DataFrame({label: [frame[label].iloc[0]] * len(taken), "centre": x[taken].tolist()})
+
+    kind = dict(df.dtypes)[label]
+    found = drawn.select(label, "v", "_n").groupBy(label).applyInPandas(choose, f"{label} {kind}, centre array<double>").collect()
+    if sum(len(r.centre) for r in found) > MAX_CENTRE_NUMBERS:
+        raise ValueError("centres of all classes are too large to be shipped to every task")
+    return {c: np.array([r.centre for r in found if r[label] == c]) for c in {r[label] for r in found}}
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)).argmin(axis=1)
+
+
+def moved_centres(df: DataFrame, centres: Centres, features: str = "features", label: str = "label") -> Centres:
+    """One Lloyd step of all classes in one job: tasks add up their rows by class and nearest centre, only sums are shuffled.
+
+    A centre that no row is nearest to stays where it is.
+    """
+    shipped = df.sparkSession.sparkContext.broadcast(centres)
+
+    def statistics(key, rows: pd.DataFrame) -> np.ndarray:
+        x, own = np.stack(rows["v"].to_numpy()), shipped.value[key]
+        near = _nearest(x, own)
+        sums = np.zeros((len(own), x.shape[1] + 1))
+        np.add.at(sums, near, np.hstack([x, np.ones((len(x), 1))]))
+        return sums.ravel()
+
+    rows = df.where(F.col(features).isNotNull()).select(label, F.col(features).cast("array<double>").alias("v"))
+    moved = dict(centres)
+    for r in partial_sums(rows, statistics, label).groupBy(label).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("v")
+    ).collect():
+        sums = np.array(r.v).reshape(len(centres[r[label]]), -1)
+        used = sums[:, -1:] > 0
+        moved[r[label]] = np.where(used, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centres[r[label]])
+    return moved
+
+
+def assign_clusters(df: DataFrame, centres: Centres, features: str = "features", label: str = "label") -> DataFrame:
+    """Adds ``client_id``, the number of the nearest centre of the row's class, in one pass; rows without a vector get none."""
+    shipped = df.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("bigint")
+    def nearest(labels: pd.Series, vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(labels), dtype="Int64")
+        whole = vectors.notna()
+        for key, rows in vectors[whole].groupby(labels[whole], sort=False, dropna=False):
+            own = shipped.value[None if pd.isna(key) else key]
+            out.loc[rows.index] = _nearest(np.stack(rows.to_numpy()), own)
+        return out
+
+    return df.withColumn("client_id", nearest(F.col(label), F.col(features).cast("array<double>")))
+
+
 def partition_feature_clusters(
-    df: DataFrame, k: int, seed: int = 1, features: str = "features", label: str = "label", max_iter: int = 20,
-    parallelism: int = 4,
+    df: DataFrame, k: int, seed: int = 1, features: str = "features", label: str = "label", max_iter: int = 20, id_col: str = "row_id",
+    tolerance: float = 1e-9,
 ) -> DataFrame:
     """k-means inside every class; the cluster number is the silo.
 
-    One fit per class on Spark ML, a few of them side by side, each reading only the rows of its class. The centres (classes × k vectors) are the only data on the driver; all rows are
-    assigned in one pass by their distance to the k centres of their class.
+    All classes move together, one job a step, until no centre moves further than ``tolerance`` or after ``max_iter`` steps.
+    The centres (classes × k vectors) are the only data on the driver; all rows are assigned in one pass.
     """
-    spark: SparkSession = df.sparkSession
-    vectors = partitioned_copy(df.select(array_to_vector(F.col(features)).alias("_v"), label), label)
-    classes = sorted(r[0] for r in df.select(label).distinct().limit(10_001).collect())
-    if len(classes) > 10_000:
-        raise ValueError("too many classes to cluster one by one")
-
-    def fit(value):
-        estimator = KMeans(featuresCol="_v", k=k, seed=seed, maxIter=max_iter, initMode="random")
-        model = estimator.fit(vectors.where(F.col(label) == value))
-        return value, [[float(x) for x in c] for c in model.clusterCenters()]
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        centres = list(pool.map(fit, classes))
-    table = spark.createDataFrame(centres, f"{label} {dict(df.dtypes)[label]}, _centres array<array<double>>")
-    distance = lambda c: F.aggregate(
-        F.zip_with(F.col(features), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
-    )
-    gaps = F.transform(F.col("_centres"), distance)
-    return df.join(small_side(table), label).withColumn("_gaps", gaps).withColumn(
-        "client_id", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("bigint")
-    ).drop("_centres", "_gaps")
+    centres = first_centres(df, k, seed, features, label, id_col)
+    for _ in range(max_iter):
+        moved = moved_centres(df, centres, features, label)
+        still = all(np.abs(moved[c] - centres[c]).max(initial=0) <= tolerance for c in centres)
+        centres = moved
+        if still:
+            break
+    return assign_clusters(df, centres, features, label)
 
 
 def shuffle_key(seed: int, id_col: str = "row_id") -> Column:

@@ -249,3 +249,20 @@ def partition_feature_clusters(spark, d):
     """Silos by k-means inside every class of the vectors."""
     rows = fx.silo_vectors(spark, d).drop("client_id")
     return D.partition_feature_clusters(rows, 4).select("row_id", "label", "client_id")
+
+
+@query("cluster_step", """
+WITH hashed AS (SELECT row_id, label, features, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || row_id), row_id) - 1 AS place FROM silo_vectors),
+centres AS (SELECT label, place AS cluster, features AS c FROM hashed WHERE place < 4),
+near AS (SELECT row_id, label, arg_min(cluster, (list_sum(list_transform(list_zip(features, c), lambda p: (p[1] - p[2]) ** 2)), cluster)) AS cluster
+  FROM silo_vectors JOIN centres USING (label) GROUP BY row_id, label),
+long AS (SELECT n.label, cluster, unnest(features) AS x, unnest(range(len(features))) AS i FROM near n JOIN silo_vectors USING (row_id)),
+means AS (SELECT label, cluster, i, avg(x) AS m FROM long GROUP BY ALL),
+moved AS (SELECT label, cluster, list(m ORDER BY i) AS c FROM means GROUP BY ALL)
+SELECT row_id, label, arg_min(cluster, (list_sum(list_transform(list_zip(features, c), lambda p: (p[1] - p[2]) ** 2)), cluster)) AS client_id
+FROM silo_vectors JOIN moved USING (label) GROUP BY row_id, label""")
+def cluster_step(spark, d):
+    """Silos by the classes' nearest centres after one step from the four rows of smallest hash of each class."""
+    rows = fx.silo_vectors(spark, d).drop("client_id")
+    centres = D.moved_centres(rows, D.first_centres(rows, 4, candidates=1))
+    return D.assign_clusters(rows, centres).select("row_id", "label", "client_id")

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from silovalue.functions.lineage import control_table
 from silovalue.operators.metrics import GLOBAL
 
-EXACT_SILOS = 7
-SAMPLED_PERMUTATIONS = 9_999
+MOST_EXACT = 10  # values of which all permutations are tried
+MOST_VALUES = 100_000  # values of one key, which meet in one task
+PERMUTED_AT_ONCE = 2_000_000
+MOST_FRACTION_STEPS = 1_000_000
 
 
 def pearson(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -24,28 +26,59 @@ def pearson(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataF
     return both.groupBy(*keys).agg(F.when(~F.isnan(r), r).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided tail of Student's t with whole degrees of freedom, from the finite trigonometric series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    c2 = F.pow(F.cos(theta), F.lit(2.0))
-    # Terms of the series multiply up by (2k - 1) / 2k (even df) or 2k / (2k + 1) (odd df).
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+def _log_gamma_step(a: np.ndarray) -> np.ndarray:
+    """ln Γ(a + 1/2) − ln Γ(a); by its asymptotic series where the two are large and their difference would lose digits."""
+    small = np.array([math.lgamma(v + 0.5) - math.lgamma(v) if v < 50 else 0.0 for v in a])
+    big = np.maximum(a, 50.0)
+    series = 0.5 * np.log(big) - 1 / (8 * big) + 1 / (192 * big**3) - 1 / (640 * big**5)
+    return np.where(a < 50, small, series)
 
-    def series(steps: Column, ratio) -> Column:
-        def add(s: Column, k: Column) -> Column:
-            term = s["term"] * ratio(k.cast("double")) * c2
-            return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
-        return F.aggregate(steps, start, add, lambda s: s["sum"])
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, evaluated from the front until no value moves any more."""
+    tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / away(1 - (a + b) * x / (a + 1))
+    value = d.copy()
+    for m in range(1, MOST_FRACTION_STEPS):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / away(1 + term * d), away(1 + term / c)
+            value = value * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
+            break
+    return value
 
-    ks = lambda top: F.when(top >= 1, F.sequence(F.lit(1), F.greatest(top, F.lit(1)).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    even = F.sin(theta) * series(ks(F.floor(df / 2) - 1), lambda k: (2 * k - 1) / (2 * k))
-    odd_sum = F.sin(theta) * F.cos(theta) * series(ks(F.floor((df - 1) / 2) - 1), lambda k: 2 * k / (2 * k + 1))
-    odd = 2 / math.pi * (theta + F.when(df > 1, odd_sum).otherwise(F.lit(0.0)))
-    inside = F.when(df % 2 == 0, even).otherwise(odd)
-    return F.greatest(1 - inside, F.lit(0.0))
+
+def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail of Student's t: the regularised incomplete beta function I(df/2, 1/2) at df / (df + t²).
+
+    The number of steps grows at most with the root of df, whatever the number of rows behind it.
+    """
+    t, a = np.abs(np.asarray(t, dtype=float)), np.asarray(df, dtype=float) / 2
+    out = np.full(len(t), np.nan)
+    fine = np.isfinite(t) & (a > 0)
+    t, a = t[fine], a[fine]
+    rest = t * t / (2 * a + t * t)  # 1 − x, without its rounding
+    half = np.full_like(a, 0.5)
+    with np.errstate(divide="ignore"):
+        front = np.exp(_log_gamma_step(a) - 0.5 * math.log(math.pi) - a * np.log1p(t * t / (2 * a)) + 0.5 * np.log(rest))
+    direct = rest > 1.5 / (a + 2.5)
+    x = np.where(direct, 1 - rest, rest)
+    first, second = np.where(direct, a, half), np.where(direct, half, a)
+    part = front * _beta_fraction(first, second, x) / first
+    out[fine] = np.clip(np.where(direct, part, 1 - part), 0.0, 1.0)
+    return out
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t of a table with one row per result."""
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series, freedom: pd.Series) -> pd.Series:
+        found = t_tail(values.to_numpy(float, na_value=np.nan), freedom.to_numpy(float, na_value=np.nan))
+        return pd.Series(found).where(~np.isnan(found), None)
+
+    return tail(t.cast("double"), df.cast("double"))
 
 
 def pearson_p_value(correlations: DataFrame) -> DataFrame:
@@ -73,38 +106,51 @@ def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Data
     return pearson(average_ranks(both, keys, [x, y]), keys, x, y)
 
 
-def _permutations(n: int, seed: int) -> tuple[np.ndarray, bool]:
-    if n <= EXACT_SILOS:
-        return np.array(list(itertools.permutations(range(n)))), True
-    random = np.random.RandomState(seed)
-    return np.array([random.permutation(n) for _ in range(SAMPLED_PERMUTATIONS)]), False
-
-
-def permutation_p(x: np.ndarray, y: np.ndarray, seed: int = 1) -> tuple[float | None, float | None]:
-    """Coefficient and two-sided permutation p of two rank vectors: exact up to 7 values, sampled beyond."""
+def permutation_p(
+    x: np.ndarray, y: np.ndarray, method: str = "exact", resamples: int = 9_999, seed: int = 1
+) -> tuple[float | None, float | None]:
+    """Coefficient and two-sided permutation p of two rank vectors, over all permutations or over ``resamples`` drawn ones."""
     x, y = x - x.mean(), y - y.mean()
     scale = np.sqrt((x * x).sum() * (y * y).sum())
     if scale == 0:
         return None, None
     r = float(x @ y / scale)
-    order, exact = _permutations(len(x), seed)
-    null = (x[order] @ y) / scale
-    extra = 0 if exact else 1
-    upper = ((null >= r - 1e-12).sum() + extra) / (len(null) + extra)
-    lower = ((null <= r + 1e-12).sum() + extra) / (len(null) + extra)
-    return r, float(min(1.0, 2 * min(upper, lower)))
-
+    if method == "exact":
+        if len(x) > MOST_EXACT:
+            raise ValueError(f"all permutations of more than {MOST_EXACT} values are too many; choose method='sampled'")
+        tried, extra = itertools.permutations(range(len(x))), 0
+    else:
+        random, extra = np.random.RandomState(seed), 1
+        tried = (random.permutation(len(x)) for _ in range(resamples))
+    count = upper = lower = extra
+    while block := list(itertools.islice(tried, max(1, PERMUTED_AT_ONCE // len(x)))):
+        null = (x[np.array(block)] @ y) / scale
+        count, upper, lower = count + len(block), upper + int((null >= r - 1e-12).sum()), lower + int((null <= r + 1e-12).sum())
+    return r, float(min(1.0, 2 * min(upper, lower) / count))
+
+
+def spearman_permutation_p(
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", seed: int = 1, method: str = "exact", resamples: int = 9_999
+) -> DataFrame:
+    """(keys, r, p) of each key's silos; the permutations of one key are tried inside one task.
 
-def spearman_permutation_p(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", seed: int = 1) -> DataFrame:
-    """(keys, r, p) of each key's silos; the permutations of one key are tried inside one task."""
+    The caller chooses ``method``: "exact" tries all permutations (up to 10 silos a key), "sampled" draws ``resamples``. A key
+    with more than ``MOST_VALUES`` silos is refused, so that what one task gathers is bounded.
+    """
+    if method not in ("exact", "sampled"):
+        raise ValueError("method is exact or sampled")
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    packed = average_ranks(both, keys, [x, y]).groupBy(*keys).agg(F.collect_list(F.struct(x, y)).alias("pairs"))
+    sizes = Window.partitionBy(*keys)
+    counted = average_ranks(both, keys, [x, y]).withColumn("_n", F.count(F.lit(1)).over(sizes))
+    checked = counted.where(F.when(F.col("_n") <= MOST_VALUES, True).otherwise(F.raise_error(F.lit(f"more than {MOST_VALUES} values of a key")).cast("boolean")))
+    packed = checked.groupBy(*keys).agg(F.collect_list(F.struct(x, y)).alias("pairs"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in packed.select(*keys).dtypes)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [
-                permutation_p(np.array([q[x] for q in pairs]), np.array([q[y] for q in pairs]), seed) for pairs in batch["pairs"]
+                permutation_p(np.array([q[x] for q in pairs]), np.array([q[y] for q in pairs]), method, resamples, seed)
+                for pairs in batch["pairs"]
             ]
             yield batch[keys].assign(r=[f[0] for f in found], p=[f[1] for f in found])
 

@@ -40,26 +40,37 @@ def spearman(spark, d):
     return rounded(C.spearman(source_stats(spark, d), ["lang"]))
 
 
-@query("pearson_p_value", """
+view("lang_p", """
 WITH r AS (SELECT lang, corr(x, y) AS r, count(*) AS n FROM source_stats GROUP BY lang),
 t AS (SELECT *, atan(abs(r * sqrt((n - 2) / (1 - r * r))) / sqrt(n - 2)) AS a FROM r)
-SELECT lang, round(r, 6) AS r, n, round(1 - CASE WHEN n % 2 = 0 THEN sin(a) * (1 + coalesce(list_sum(list_transform(
+SELECT lang, r, n, 1 - CASE WHEN n % 2 = 0 THEN sin(a) * (1 + coalesce(list_sum(list_transform(
     range(1, n // 2 - 1), lambda k: list_aggregate(list_transform(range(1, k + 1), lambda j: (2 * j - 1) / (2.0 * j)), 'product')
       * cos(a) ** (2 * k))), 0))
   ELSE 2 / pi() * (a + CASE WHEN n > 3 THEN sin(a) * cos(a) * (1 + coalesce(list_sum(list_transform(
     range(1, (n - 3) // 2), lambda k: list_aggregate(list_transform(range(1, k + 1), lambda j: (2.0 * j) / (2 * j + 1)), 'product')
-      * cos(a) ** (2 * k))), 0)) ELSE 0 END) END, 6) AS p
+      * cos(a) ** (2 * k))), 0)) ELSE 0 END) END AS p
 FROM t""")
+
+
+@query("pearson_p_value", "SELECT lang, round(r, 6) AS r, n, round(p, 6) AS p FROM lang_p")
 def pearson_p_value(spark, d):
     return rounded(C.pearson_p_value(C.pearson(source_stats(spark, d), ["lang"])))
 
 
+@query("fisher_mean", """
+SELECT lang IN ('en', 'de') AS germanic, round(tanh(avg(atanh(r))), 6) AS r, round(avg(p), 6) AS p FROM lang_p GROUP BY 1""")
+def fisher_mean(spark, d):
+    """Coefficients and p-values of the languages, averaged by family."""
+    found = C.pearson_p_value(C.pearson(source_stats(spark, d), ["lang"]))
+    return rounded(C.fisher_mean(found.withColumn("germanic", F.col("lang").isin("en", "de")), ["germanic"]))
+
+
 @query("average_ranks", "SELECT lang, round(x, 6) AS x, round(y, 6) AS y FROM source_ranks")
 def average_ranks(spark, d):
     return rounded(C.average_ranks(source_stats(spark, d), ["lang"], ["x", "y"]).select("lang", "x", "y"))
 
 
-# Four languages are few enough for all permutations: per source, documents against mean length over the languages.
+# Four languages are few enough for all permutations: per source, documents against mean length over its languages.
 PERMUTED = """
 WITH ranked AS (SELECT client_id, count(*) OVER (PARTITION BY client_id) AS n,
   row_number() OVER (PARTITION BY client_id ORDER BY lang) - 1 AS i,
@@ -67,21 +78,21 @@ WITH ranked AS (SELECT client_id, count(*) OVER (PARTITION BY client_id) AS n,
   rank() OVER (PARTITION BY client_id ORDER BY y) + (count(*) OVER (PARTITION BY client_id, y) - 1) / 2 AS y FROM source_stats),
 packed AS (SELECT client_id, any_value(n) AS n, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, corr(x, y) AS r FROM ranked GROUP BY client_id),
 idx AS (SELECT unnest(range(4)) AS v),
-perms AS (SELECT [a.v, b.v, c.v, e.v] AS p FROM idx a, idx b, idx c, idx e
+perms AS (SELECT 2 AS size, [a.v, b.v] AS p FROM idx a, idx b WHERE a.v <> b.v AND a.v < 2 AND b.v < 2
+  UNION ALL SELECT 3, [a.v, b.v, c.v] FROM idx a, idx b, idx c WHERE a.v <> b.v AND a.v <> c.v AND b.v <> c.v AND greatest(a.v, b.v, c.v) < 3
+  UNION ALL SELECT 4, [a.v, b.v, c.v, e.v] FROM idx a, idx b, idx c, idx e
   WHERE a.v <> b.v AND a.v <> c.v AND a.v <> e.v AND b.v <> c.v AND b.v <> e.v AND c.v <> e.v),
 tried AS (SELECT client_id, any_value(r) AS r, corr(xs[i + 1], ys[p[i + 1] + 1]) AS q
-  FROM packed CROSS JOIN perms CROSS JOIN (SELECT unnest(range(4)) AS i) WHERE n = 4 GROUP BY client_id, p)
+  FROM packed JOIN perms ON size = n JOIN idx_places ON i < n GROUP BY client_id, p)
 SELECT client_id, round(any_value(r), 6) AS r,
        round(least(1, 2 * least(avg(CASE WHEN q >= r - 1e-12 THEN 1.0 ELSE 0 END), avg(CASE WHEN q <= r + 1e-12 THEN 1.0 ELSE 0 END))), 6) AS p
-FROM tried WHERE NOT isnan(r) GROUP BY client_id"""
+FROM tried WHERE NOT isnan(r) GROUP BY client_id""".replace("idx_places", "(SELECT unnest(range(4)) AS i) AS places")
 
 
 @query("spearman_permutation_p", PERMUTED)
 def spearman_permutation_p(spark, d):
-    """Per source with all four languages: all 24 pairings."""
-    stats = source_stats(spark, d)
-    full = stats.groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 4).select("client_id")
-    found = C.spearman_permutation_p(stats.join(full, "client_id"), ["client_id"])
+    """Every source with at least two languages whose numbers are not all equal: all pairings."""
+    found = C.spearman_permutation_p(source_stats(spark, d), ["client_id"])
     return rounded(found.where(F.col("r").isNotNull()))
 
 
@@ -99,12 +110,6 @@ def line_correlations(spark, d):
     return C.pearson(lines, ["flag", "grp"])
 
 
-@query("fisher_mean", """
-SELECT flag, round(tanh(avg(atanh(r))), 6) AS r, round(avg(n), 2) AS p FROM line_correlations GROUP BY flag""")
-def fisher_mean(spark, d):
-    return rounded(C.fisher_mean(line_correlations(spark, d).withColumnRenamed("n", "p"), ["flag"]).withColumn("p", F.round("p", 2)))
-
-
 @query("clean_nonfinite", """
 SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2, 3) THEN 0 ELSE value END AS value FROM events""")
 def clean_nonfinite(spark, d):

@@ -163,6 +163,20 @@ def shapley_values_regression(utility: DataFrame, clients: DataFrame) -> DataFra
     return S.shapley_values(utility.where("mask > 0"), clients, start, ["evaluator", "metric"])
 
 
+def cross_losses_regression(train: DataFrame, test: DataFrame, ridge: float = 0.0) -> DataFrame:
+    """(model, client_id, value): mean absolute error of every silo's model, and of the one of all rows, on every test set."""
+    around = centre(train)
+    own = product_sums(train.withColumn("client_id", F.col("client_id").cast("string")), around)
+    everything = own.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    sums = own.unionByName(everything.select(F.lit(M.GLOBAL).alias("client_id"), "v"))
+    models = control_table(model_vectors(fit_linear_per_client(sums, around, ridge), ["client_id"], len(around)))
+    sizes = test.groupBy(F.col("client_id").cast("string").alias("evaluator")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.unionByName(sizes.agg(F.lit(M.GLOBAL).alias("evaluator"), F.sum("n").alias("n")))
+    found = absolute_errors(test, models, "client_id").withColumnRenamed("client_id", "model")
+    return found.join(sizes, "evaluator").select("model", F.col("evaluator").alias("client_id"), (F.col("sae") / F.col("n")).alias("value"))
+
+
 # ---------------------------------------------------------------- more silos than a lattice can hold
 
 

@@ -206,8 +206,10 @@ def display_label(label: str | Column, prefix: str) -> Column:
 
 
 def encode_labels(df: DataFrame, fit_on: DataFrame, label: str = "label", name: str = "class_index") -> DataFrame:
-    """Adds the 0-based class index in the sorted class list of ``fit_on``; an unknown class gets -1."""
-    return df.withColumn(name, arrays.label_position(categories(fit_on, label).scalar(), F.col(label)))
+    """Adds the 0-based class index in the sorted class list of ``fit_on``; a class that is not in it ends the job, a null stays null."""
+    place = arrays.label_position(categories(fit_on, label).scalar(), F.col(label))
+    unknown = F.raise_error(F.concat(F.lit("unknown class "), F.col(label).cast("string"))).cast("int")
+    return df.withColumn(name, F.when(place < 0, unknown).otherwise(place))
 
 
 def decode_labels(df: DataFrame, fit_on: DataFrame, vector: str, label: str = "label", name: str = "decoded") -> DataFrame:

@@ -45,13 +45,12 @@ def client_pairs(spark, d):
     return X.client_pairs(T.read_table(spark, d, "documents").select(F.col("source").alias("client_id")))
 
 
-@query("concat_partitions", """
-SELECT row_id, client_id, label, split FROM silo_events WHERE client_id IN (0, 1)""")
+@query("concat_partitions", "SELECT row_id, client_id, label, split FROM silo_events")
 def concat_partitions(spark, d):
     rows = fx.silo_events(spark, d).select("row_id", "client_id", "label", "split")
     parts = [
         rows.where((F.col("client_id") == c) & (F.col("split") == s)).select("split", "label", "client_id", "row_id")
-        for c in (0, 1) for s in ("train", "test")
+        for c in range(4) for s in ("train", "test")
     ]
     joined = parts[0]
     for part in parts[1:]:

@@ -128,6 +128,13 @@ def correlation_summary(spark, d):
     return rounded(C.correlation_summary(line_correlations(spark, d), ["flag"], F.col("grp") != 3))
 
 
+@query("correlation_summary_all", """
+SELECT flag, count(*) AS n, round(min(r), 6) AS min, round(quantile_cont(r, 0.25), 6) AS q1, round(quantile_cont(r, 0.5), 6) AS median,
+       round(quantile_cont(r, 0.75), 6) AS q3, round(max(r), 6) AS max FROM line_correlations GROUP BY flag""")
+def correlation_summary_all(spark, d):
+    return rounded(C.correlation_summary(line_correlations(spark, d), ["flag"]))
+
+
 @query("correlation_group_means", "SELECT flag, round(avg(r), 6) AS r FROM line_correlations GROUP BY flag")
 def correlation_group_means(spark, d):
     return rounded(C.correlation_group_means(line_correlations(spark, d), ["flag"]))

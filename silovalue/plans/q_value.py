@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from silovalue.functions.hashing import hash_below
 from silovalue.functions.lineage import cut_lineage
-from silovalue.operators import linear_value as L, trees
+from silovalue.operators import distance as X, domain_shift as Y, fit as T, linear_value as L, trees
 from silovalue.plans import fixtures as fx
 from silovalue.plans.catalog import query, view
 from silovalue.plans.fixtures import rounded
@@ -170,3 +171,64 @@ def shapley_values_fitted_trees(spark, d):
     utility = trees.tree_coalition_utility(rows.where(F.col("split") == "test"), stumps(rows))
     sv = trees.shapley_values_fitted_trees(utility.where(F.col("metric") == "CrossEntropyLoss"), rows.where(F.col("split") == "train"))
     return rounded(sv.select("evaluator", "client_id", "value"), 7)
+
+
+# ---------------------------------------------------------------- regression and shift between silos
+
+
+@query("performance_degradation_regression", """
+WITH fits AS (SELECT client_id, slope, bias FROM price_fits
+  UNION ALL SELECT 'Global', regr_slope(y, x), regr_intercept(y, x) FROM price_rows WHERE split = 'train'),
+tests AS (SELECT client_id, x, y FROM price_rows WHERE split = 'test' UNION ALL SELECT 'Global', x, y FROM price_rows WHERE split = 'test'),
+losses AS (SELECT f.client_id AS model, t.client_id AS silo, avg(abs(y - slope * x - bias)) AS value FROM tests t, fits f GROUP BY ALL)
+SELECT a.model AS src, a.silo AS tgt, round(a.value - b.value, 5) AS value FROM losses a JOIN losses b ON b.silo = a.silo AND b.model = a.silo
+WHERE a.model <> 'Global'""")
+def performance_degradation_regression(spark, d):
+    """Mean absolute error of each segment's model on the others' test rows against that of their own models."""
+    return rounded(X.performance_degradation(L.cross_losses_regression(*_parts(price_rows(spark, d)))), 5)
+
+
+@query("loss_gradient_mae", """
+SELECT client_id, i::BIGINT AS pos, round(avg(CASE WHEN y < 150 THEN 1 WHEN y > 150 THEN -1 ELSE 0 END * CASE i WHEN 0 THEN x ELSE 1 END), 6) AS value
+FROM price_rows, (SELECT unnest([0, 1]) AS i) WHERE split = 'train' GROUP BY ALL""")
+def loss_gradient_mae(spark, d):
+    """Mean gradient of the absolute error at the model that says 150 for every order."""
+    rows = L.clean_rows(price_rows(spark, d).where(F.col("split") == "train"))
+    silos = [r[0] for r in rows.select("client_id").distinct().collect()]
+    return rounded(T.loss_gradient(rows.withColumn("target", F.array("y")), {s: np.array([[0.0, 150.0]]) for s in silos}, "MAE"))
+
+
+view("shift_lines", """
+SELECT l_suppkey % 5 AS client_id, l_quantity / 50 AS a, list_position(['A', 'N', 'R'], l_returnflag) - 1 AS label,
+  ('0x' || substr(md5('13:' || l_orderkey), 1, 8))::BIGINT % 8 AS fold FROM lineitem""")
+view("shift_domains", """
+SELECT s.client_id AS src, t.tgt FROM (SELECT DISTINCT client_id FROM shift_lines) s,
+  (SELECT DISTINCT CAST(client_id AS VARCHAR) AS tgt FROM shift_lines UNION ALL SELECT 'Global') t""")
+view("shift_sides", """
+SELECT src, tgt, 0 AS side, a, label, fold FROM shift_domains JOIN shift_lines ON client_id = src
+UNION ALL SELECT src, tgt, 1, a, label, fold FROM shift_domains JOIN shift_lines ON tgt = 'Global' OR tgt = CAST(client_id AS VARCHAR)""")
+
+
+@query("y_shift_features", """
+WITH cells AS (SELECT src, tgt, side, a, fold, count(*)::DOUBLE AS n FROM shift_sides GROUP BY ALL),
+sums AS (SELECT src, tgt, f.fold, sum(n) AS n, sum(n * a) AS x, sum(n * a * a) AS xx, sum(n * side) AS y, sum(n * side * a) AS xy
+  FROM cells c, (SELECT unnest(range(8)) AS fold) f WHERE c.fold <> f.fold GROUP BY ALL),
+fits AS (SELECT src, tgt, fold, 4 * (n * xy - x * y) / (n * xx - x * x) AS slope, 4 * ((y - (n * xy - x * y) / (n * xx - x * x) * x) / n - 0.5) AS bias FROM sums),
+sizes AS (SELECT src, tgt, sum(side * n) / sum(n) AS alpha FROM cells GROUP BY ALL),
+scored AS (SELECT s.src, s.tgt, side, alpha, 1 / (1 + exp(-slope * a - bias)) AS pi,
+  CASE WHEN label = CASE WHEN 0.5 + 0.1 * s.src - a >= a THEN 0 ELSE 1 END THEN 1.0::DOUBLE ELSE 0 END AS hit
+  FROM shift_sides s JOIN fits f ON f.src = s.src AND f.tgt = s.tgt AND f.fold = s.fold JOIN sizes z ON z.src = s.src AND z.tgt = s.tgt),
+weighed AS (SELECT *, CASE side WHEN 0 THEN pi ELSE 1 - pi END / ((1 - alpha) * pi + alpha * (1 - pi)) AS w FROM scored),
+found AS (SELECT src, tgt, avg(hit) FILTER (WHERE side = 0) - avg(hit) FILTER (WHERE side = 1) AS degradation,
+  sum(w * hit) FILTER (WHERE side = 0) / sum(w) FILTER (WHERE side = 0) - sum(w * hit) FILTER (WHERE side = 1) / sum(w) FILTER (WHERE side = 1) AS shared
+  FROM weighed GROUP BY ALL)
+SELECT CAST(src AS VARCHAR) AS src, tgt, round(degradation, 6) AS degradation, round(shared, 6) AS shared FROM found""")
+def y_shift_features(spark, d):
+    """One Newton step of the domain classifiers on the quantity, with fixed class models, over all order lines."""
+    lines = fx.read_table(spark, d, "lineitem")
+    rows = lines.select(
+        F.col("l_orderkey").alias("row_id"), (F.col("l_suppkey") % 5).alias("client_id"), F.array(F.col("l_quantity") / 50).alias("features"),
+        F.array(*[(F.col("l_returnflag") == f).cast("double") for f in FLAGS]).alias("target"))
+    models = {s: np.array([[-1.0, 0.5 + 0.1 * s], [1.0, 0.0], [0.0, -9.0]]) for s in range(5)}
+    found = Y.y_shift_features(rows, models, steps=1, ridge=0.0)
+    return rounded(found.drop("shift"))

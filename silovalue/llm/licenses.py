@@ -2,7 +2,8 @@
 
 Lines that speak of licensing make candidate blocks. A block is compressed by zstandard once on its own and once with each
 template as a raw dictionary; the templates that shrink it most are compared word by word, and a match is confirmed if the
-template's words are there in order, up to a stated share of differences, which are reported exactly.
+template's words are there in order, up to a stated share of differences, which are reported exactly. What stands before and
+after a match is searched again, so every copy in a block is found.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ CUES = re.compile(
     r"licen[sc]e|copyright|\(c\)\s*\d{4}|all rights reserved|permission is hereby|permission to use|redistribution|"
     r"warrant|public domain|creative commons|\bcc[ -](?:by|0)|spdx|\bgnu\b|\bgpl|apache|mozilla public", re.I)
 GAP = 3  # lines without a cue that a block may span
-WINNERS = 3
-MOST_DIFFERENT = 0.25
-LEAST_REDUCTION = 0.15
+MOST_DIFFERENT = 0.25  # of a template's words
+LEAST_REDUCTION = 0.15  # of the bytes of a template's words
 
 # The wording of public license statements and notices.
 TEMPLATES = {
@@ -67,8 +67,8 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, text) of runs of lines with cues, with at most GAP other lines between two of them."""
+def blocks(text: str, gap: int = GAP) -> Iterator[tuple[int, list[str]]]:
+    """(first line, lines) of runs of lines with cues, with at most ``gap`` other lines between two of them."""
     if not CUES.search(text):
         return
     lines = text.split("\n")
@@ -76,8 +76,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
     start = None
     for i, j in zip(hits, [*hits[1:], None]):
         start = i if start is None else start
-        if j is None or j - i > GAP + 1:
-            yield start, i, "\n".join(lines[start : i + 1])
+        if j is None or j - i > gap + 1:
+            yield start, lines[start : i + 1]
             start = None
 
 
@@ -96,33 +96,43 @@ class Scanner:
         saved = [((alone - len(self.primed[n].compress(data))) / max(8, min(alone, len(" ".join(self.words[n])))), n) for n in self.names]
         return sorted(saved, key=lambda s: (-s[0], s[1]))
 
-    def difference(self, name: str, found: list[str]) -> tuple[list[str], list[str]]:
-        """The template's words that the block lacks, and the block's words between the first and the last one matched."""
+    def difference(self, name: str, found: list[str]) -> tuple[int, int, list[str], list[str]]:
+        """Where the match begins and ends, the template's words that it lacks, and its words that the template lacks."""
         same = [m for m in SequenceMatcher(None, self.words[name], found, autojunk=False).get_matching_blocks() if m.size]
         if not same:
-            return self.words[name], []
+            return 0, 0, self.words[name], []
         kept = {i for m in same for i in range(m.a, m.a + m.size)}
         used = {i for m in same for i in range(m.b, m.b + m.size)}
-        return ([w for i, w in enumerate(self.words[name]) if i not in kept],
-                [found[i] for i in range(same[0].b, same[-1].b + same[-1].size) if i not in used])
+        begin, end = same[0].b, same[-1].b + same[-1].size
+        return begin, end, [w for i, w in enumerate(self.words[name]) if i not in kept], [found[i] for i in range(begin, end) if i not in used]
 
-    def scan(self, block: str) -> Iterator[tuple[str, float, int, list[str], list[str]]]:
-        """Confirmed templates of a block: the best ones by compression, or as long as they keep confirming."""
-        found, failed = words(block), 0
+    def scan(self, found: list[str], most_different: float = MOST_DIFFERENT, least_reduction: float = LEAST_REDUCTION) -> Iterator[tuple]:
+        """(template, reduction, begin, end, missing, added) of every confirmed copy in a block's words, best template first.
+
+        All templates that save enough are compared; the words on both sides of a copy are searched for more of it.
+        """
         for gain, name in self.ranked(found):
-            if gain < LEAST_REDUCTION or failed >= WINNERS:
+            if gain < least_reduction:
                 return
-            missing, added = self.difference(name, found)
-            if len(missing) + len(added) <= MOST_DIFFERENT * len(self.words[name]):
-                yield name, gain, len(self.words[name]), missing, added
-            else:
-                failed += 1
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per block and confirmed license of every whole text; null and empty texts have none.
-
-    A block can confirm several licenses whose wording differs little; the row without differences is the exact one.
+            wanted = len(self.words[name])
+            todo = [(0, len(found))]
+            while todo:
+                low, high = todo.pop()
+                if high - low < (1 - most_different) * wanted:
+                    continue
+                begin, end, missing, added = self.difference(name, found[low:high])
+                if len(missing) + len(added) <= most_different * wanted:
+                    yield name, gain, low + begin, low + end, missing, added
+                    todo += [(low + end, high), (low, low + begin)]
+
+
+def scan(
+    docs: DataFrame, templates: dict[str, str] | None = None, gap: int = GAP, most_different: float = MOST_DIFFERENT,
+    least_reduction: float = LEAST_REDUCTION,
+) -> DataFrame:
+    """One row per copy of a confirmed license in every whole text, with the lines it covers; null and empty texts have none.
+
+    Words can confirm several licenses whose wording differs little; the row without differences is the exact one.
     Repeated rows give repeated results, a null doc_id keeps its own. Templates are a parameter shipped with the task.
     """
     given = templates if templates is not None else TEMPLATES
@@ -134,8 +144,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for first, last, block in blocks(text or ""):
-                    rows.extend((doc, first, last, *found) for found in scanner.scan(block))
+                for first, lines in blocks(text or "", gap):
+                    placed = [(first + i, word) for i, line in enumerate(lines) for word in words(line)]
+                    for name, gain, begin, end, missing, added in scanner.scan([w for _, w in placed], most_different, least_reduction):
+                        rows.append((doc, placed[begin][0], placed[end - 1][0], name, gain, len(scanner.words[name]), missing, added))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 

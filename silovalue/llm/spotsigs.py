@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from silovalue.llm import common
 
-ANCHORS = 120
+ANCHORS = 400
 CHAIN = 2
-FEWEST = 4
+START = np.uint64(0x5354415254)  # stands for the word before the first one
 SIGNATURE = "<u4"
 MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 
@@ -42,22 +42,24 @@ def common_words(docs: DataFrame, anchors: int = ANCHORS) -> list[int]:
 
 
 def signatures(words: np.ndarray, anchors: np.ndarray, chain: int = CHAIN) -> np.ndarray:
-    """Sorted set of signatures. Where common words start fewer than ``FEWEST`` chains, or one in 32 words, each word starts one: with the
-    next word, or alone if it is the only one. A text without words has none."""
+    """Sorted set of signatures: one rule for all texts.
+
+    The start of the text is an anchor too, so that every text with words has a signature; a chain that the text's end cuts
+    short is as long as it can be. A text of anchors alone has one signature for each of them, one without words has none.
+    """
     if not len(words):
         return np.zeros(0, dtype=SIGNATURE)
     place = np.minimum(np.searchsorted(anchors, words), len(anchors) - 1) if len(anchors) else np.zeros(len(words), int)
     anchor = anchors[place] == words if len(anchors) else np.zeros(len(words), bool)
     content = words[~anchor]
-    following = np.cumsum(~anchor)[anchor]  # the number of content words before the anchor
-    whole = following + chain <= len(content)
-    starts, total = following[whole], common.mixed(words[anchor][whole])
+    starts = np.concatenate([[0], np.cumsum(~anchor)[anchor]])  # the number of content words before each anchor
+    total = common.mixed(np.concatenate([[START], words[anchor]]).astype(np.uint64))
     for j in range(chain):
-        total = common.mixed(total + content[starts + j] * np.uint64(2 * j + 3))
-    found = np.unique((total >> np.uint64(32)).astype(SIGNATURE))
-    if len(found) >= max(FEWEST, len(words) // 32):
-        return found
-    return np.unique((common.shingle_hashes(words, 2) >> np.uint64(32)).astype(SIGNATURE))
+        there = starts + j < len(content)
+        total[there] = common.mixed(total[there] + content[starts[there] + j] * np.uint64(2 * j + 3))
+    if len(content):
+        total = total[starts < len(content)]
+    return np.unique((total >> np.uint64(32)).astype(SIGNATURE))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -136,13 +138,15 @@ def edit_study(docs: DataFrame, anchors: list[int], chain: int = CHAIN) -> DataF
     below = F.size(F.filter(F.lit(borders).cast("array<bigint>"), lambda x: x <= F.col("doc_id"))) if borders else F.lit(0)
     part = F.when(F.col("doc_id").isNull(), len(borders) + 1).otherwise(len(borders) - below).cast("int")
     placed = rows.withColumn("part", part)
-    heads = placed.select("doc_id", "part").groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
+    first_unnamed = F.min(F.when(F.col("doc_id").isNull(), F.col("text")))
+    heads = placed.groupBy("part").agg(F.max("doc_id").alias("head"), first_unnamed.alias("text")).orderBy("part").collect()
     before = {h.part: heads[i - 1].part for i, h in enumerate(heads)}  # the first range's head goes to the last range
     if not heads:
         before = {0: 0}
     order = F.element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), F.col("part"))
     ids = [h["head"] for h in heads if h["head"] is not None]
-    is_head = F.col("doc_id").isin(ids) | F.col("doc_id").isNull()
+    unnamed = [h["text"] for h in heads if h["text"] is not None]
+    is_head = F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() & F.col("text").isin(unnamed))
     ahead = placed.where(is_head).withColumn("part", order).withColumn("ahead", F.lit(1))
     dealt = placed.withColumn("ahead", F.lit(0)).unionByName(ahead).repartitionById(len(borders) + 2, F.col("part"))
     sorted_ = dealt.sortWithinPartitions("ahead", F.col("doc_id").desc_nulls_last(), "text")

@@ -22,6 +22,7 @@ from silovalue.llm import common
 
 MAX_ROWS = 12_000
 MAX_TERMS = 4_000
+MAX_EXCEPTIONS = 1_000
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_DOCS = 6
 LEAST_WEIGHT = 2.5
@@ -144,8 +145,14 @@ def _counted(rows: DataFrame, terms_of, least: int) -> DataFrame:
     return summed.where(F.col("seen") >= least).withColumn("share", F.col("bad") / F.col("seen"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
-    """Learns terms, exceptions and coefficients from at most about ``max_rows`` labelled rows; no labels: score 0.5 for all."""
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, max_exceptions: int = MAX_EXCEPTIONS,
+) -> Model:
+    """Learns terms, exceptions and coefficients from at most about ``max_rows`` labelled rows; no labels: score 0.5 for all.
+
+    The model keeps the ``max_terms`` weightiest terms and the ``max_exceptions`` most frequent exceptions. Of several labels
+    of a document the highest counts. Rows without a doc_id are never learned from.
+    """
     rows = common.stored(training_rows(docs, labels, max_rows), "toxic-rows")
     total, bad = rows.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     bad = bad or 0
@@ -157,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
     found = counted.withColumn("weight", weight).where((F.col("weight") >= LEAST_WEIGHT) & (F.col("bad") >= LEAST_DOCS)).orderBy(
         F.desc(F.col("weight") * F.sqrt("bad")), "term").limit(max_terms).collect()
     terms = {r.term: float(r.weight) for r in found}
-    model = Model(terms, _exceptions(rows, terms, bad / total), [])
+    model = Model(terms, _exceptions(rows, terms, bad / total, max_exceptions), [])
 
     automaton = model.automaton()
 
@@ -170,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms:
     return model
 
 
-def _exceptions(rows: DataFrame, terms: dict[str, float], base: float) -> list[str]:
+def _exceptions(rows: DataFrame, terms: dict[str, float], base: float, most: int) -> list[str]:
     """Pairs of neighbouring words with a term in the first or second that are no more toxic than documents at large."""
     bare = ahocorasick.Automaton()
     for term in terms:
@@ -192,7 +199,7 @@ def _exceptions(rows: DataFrame, terms: dict[str, float], base: float) -> list[s
                 out.add(folded[before : stop + 1])
         return out
 
-    found = _counted(rows, phrases, LEAST_DOCS).where(F.col("share") <= base).orderBy(F.desc("seen"), "term").limit(1000).collect()
+    found = _counted(rows, phrases, LEAST_DOCS).where(F.col("share") <= base).orderBy(F.desc("seen"), "term").limit(most).collect()
     return [r.term for r in found]
 
 

@@ -12,12 +12,13 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     got = toxicity.digest(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
     assert len(got) > 50 and got.score.between(0, 1).all()
     assert ((got.score >= 0.5).astype(int) == got.predicted).all()
-    assert (got.predicted == got.toxic.astype(int)).mean() > 0.85
+    caught, right = got.predicted[got.toxic == 1].mean(), got.toxic[got.predicted == 1].mean()
+    assert (got.toxic == 1).sum() >= 50 and caught >= 0.85 and right >= 0.9
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "good day " * 50_000, "x")], "doc_id bigint, text string, score string")
     assert {r.doc_id: r.predicted for r in toxicity.digest(odd, model).collect()}.keys() == {1, 2, 3}
     kept = toxicity.without_toxic(odd, model)
@@ -30,11 +31,33 @@ def test_folding_undoes_disguises():
     assert toxicity.fold(None) == toxicity.fold("")
 
 
-def test_licences_are_found_and_clean_texts_left(spark):
-    rows = [(1, None), (2, ""), (3, "an ordinary text about gardens " * 40)]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert not [r for r in got if r.doc_id == 3 and r.asDict().get("license")]
+FILLER = "an ordinary text about gardens and the weather of the year\n" * 6
+
+
+def copies_of(spark, rows, **options):
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect()
+    return sorted((r.doc_id, r.first_line, r.last_line, r.license, r.missing, r.added) for r in found)
+
+
+def test_planted_licences_are_found_with_their_lines(spark):
+    rows = [(i, f"{FILLER}{text}\n{FILLER}") for i, text in enumerate(licenses.TEMPLATES.values())]
+    exact = [x for x in copies_of(spark, rows) if not x[4] and not x[5]]
+    names = list(licenses.TEMPLATES)
+    for i, name in enumerate(names):
+        assert (i, 6, 6, name, [], []) in exact
+
+
+def test_two_copies_in_one_block_and_their_differences(spark):
+    notice = licenses.TEMPLATES["MIT-notice"]
+    altered = notice.replace("free of charge", "at no charge").replace("merge, ", "")
+    rows = [(1, f"{notice}\n{notice}"), (2, f"{altered}\nand so on\n{notice}"), (None, notice), (4, notice + " x" * 60_000), (5, None), (6, ""), (7, FILLER * 40)]
+    found = [x for x in copies_of(spark, [r for r in rows if r[0] is not None]) if x[3] == "MIT-notice"]
+    assert [x[:3] for x in found] == [(1, 0, 0), (1, 1, 1), (2, 0, 0), (2, 2, 2), (4, 0, 0)]
+    changed = found[2]
+    assert "merge" in changed[4] and "free" in changed[4] and "at" in changed[5] and found[3][4] == found[3][5] == []
+    assert [r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id IS NULL").collect()] == ["MIT-notice"]
     assert licenses.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    assert not [x for x in copies_of(spark, rows[1:2], most_different=0.0) if x[:2] == (2, 0)]
 
 
 def test_page_text_leaves_the_frame_out(spark):

@@ -239,36 +239,64 @@ def pca_transform(
     return scored.select(*keep, "scores")
 
 
-def _relevance(ns, ms, ss, nt, mt, st, legacy: bool) -> tuple[float, float]:
-    source = covariance(ns, ms, ss)
-    target = covariance(nt, mt, st)
-    a, b = source.T @ source / ns, target.T @ target / nt
-    values, vectors = np.linalg.eigh(a)
-    directions = vectors if legacy else vectors.T
-    found = np.array([np.linalg.norm(b @ v) for v in directions])
-    values = np.abs(values)
-    low, high = np.minimum(values, found), np.maximum(values, found)
-    high = np.where(high > 0, high, 1.0)
-    d = len(values)
-    return float(np.prod((low / high) ** (1 / d))), float(np.prod(((np.maximum(values, found) - low) / high) ** (1 / d)))
-
-
-def relevance_diversity(df: DataFrame, features: str = "features", legacy: bool = False) -> DataFrame:
-    """(src, tgt, relevance, diversity) from the silos' moments; d×d algebra per pair.
-
-    ``legacy`` walks the rows of the eigenvector matrix, as published results did.
+def component_moments(moments: DataFrame, components: int, scale: bool = True) -> DataFrame:
+    """(client_id, n, means, second) of each silo's own principal scores, from its moments alone.
+
+    The scores of a silo's own components have mean 0 and a diagonal second moment, n times the components' variances.
     """
-    pairs = pair_up(gramian(df, features), ["n", "means", "second"])
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                means, second = np.asarray(r.means), np.asarray(r.second)
+                own = covariance(r.n, means, second, ddof=0)
+                if scale:
+                    spread = np.sqrt(np.diag(own))
+                    spread = np.where(spread > 0, spread, 1.0)
+                    own = own / np.outer(spread, spread)
+                kept = np.sort(np.linalg.eigvalsh(own))[::-1][:components]
+                out.append((r.client_id, r.n, [0.0] * len(kept), (r.n * np.diag(kept)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["client_id", "n", "means", "second"])
+
+    return moments.mapInPandas(project, "client_id string, n bigint, means array<double>, second array<double>")
+
+
+def relevance_diversity(df: DataFrame, features: str = "features", legacy: bool = False, components: int | None = None) -> DataFrame:
+    """(src, tgt, relevance, diversity) from the silos' moments: one eigendecomposition per silo, matrix times vector per pair.
+
+    With ``components`` the silos are compared on that many standardised principal scores, each on its own. ``legacy`` walks
+    the rows of the eigenvector matrix, as published results did.
+    """
+    moments = gramian(df, features)
+    if components is not None:
+        moments = component_moments(moments, components)
+
+    def decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                own = covariance(r.n, np.asarray(r.means), np.asarray(r.second))
+                square = own.T @ own / r.n
+                values, vectors = np.linalg.eigh(square)
+                out.append((r.client_id, square.ravel().tolist(), np.abs(values).tolist(), (vectors if legacy else vectors.T).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["client_id", "square", "values", "axes"])
+
+    solved = control_table(moments.mapInPandas(decompose, "client_id string, square array<double>, values array<double>, axes array<double>"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            both = [
-                _relevance(r.n_s, np.asarray(r.means_s), np.asarray(r.second_s), r.n_t, np.asarray(r.means_t),
-                           np.asarray(r.second_t), legacy) for r in batch.itertuples()
-            ]
-            yield batch[["src", "tgt"]].assign(relevance=[b[0] for b in both], diversity=[b[1] for b in both])
+            relevance, diversity = [], []
+            for values, axes, square in zip(batch["values_s"], batch["axes_s"], batch["square_t"]):
+                d = len(values)
+                found = np.linalg.norm(np.asarray(axes).reshape(d, d) @ np.asarray(square).reshape(d, d).T, axis=1)
+                low, high = np.minimum(values, found), np.maximum(values, found)
+                top = np.where(high > 0, high, 1.0)
+                relevance.append(float(np.prod((low / top) ** (1 / d))))
+                diversity.append(float(np.prod(((high - low) / top) ** (1 / d))))
+            yield batch[["src", "tgt"]].assign(relevance=relevance, diversity=diversity)
 
-    return pairs.mapInPandas(solve, "src string, tgt string, relevance double, diversity double")
+    return pair_up(solved, ["square", "values", "axes"]).mapInPandas(compare, "src string, tgt string, relevance double, diversity double")
 
 
 def volume(df: DataFrame, features: str = "features") -> DataFrame:
@@ -312,7 +340,7 @@ def cube_compress(df: DataFrame, omega: float = 0.1, features: str = "features")
 def robust_volume(df: DataFrame, omega: float = 0.1, features: str = "features") -> DataFrame:
     """(client_id, value): volume of the cell means × Π (1 − α^{n+1}) / (1 − α), α = 1 / (10 · cells), to 3 decimals.
 
-    The product is a sum of logarithms over cells.
+    The product is a sum of logarithms over cells, taken from counts of cells of equal size; no cell meets its silo again.
     """
     cells = control_table(cube_compress(df, omega, features))
 
@@ -324,10 +352,11 @@ def robust_volume(df: DataFrame, omega: float = 0.1, features: str = "features")
     second = sums.groupBy("client_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("second")
     )
-    counts = cells.groupBy("client_id").agg(F.count(F.lit(1)).alias("cells"))
+    equal = control_table(cells.groupBy("client_id", "n").agg(F.count(F.lit(1)).alias("m")))
+    counts = equal.groupBy("client_id").agg(F.sum("m").alias("cells"))
     alpha = 1 / (10 * F.col("cells"))
-    weight = cells.join(counts, "client_id").groupBy("client_id").agg(
-        F.exp(F.sum(F.log1p(-F.pow(alpha, F.col("n") + 1)) - F.log1p(-alpha))).alias("weight")
+    weight = equal.join(counts, "client_id").groupBy("client_id").agg(
+        F.exp(F.sum(F.col("m") * (F.log1p(-F.pow(alpha, F.col("n") + 1)) - F.log1p(-alpha)))).alias("weight")
     )
     return _volumes(second).join(weight, "client_id").select(
         "client_id", F.round(F.col("value") * F.col("weight"), 3).alias("value")

@@ -115,6 +115,17 @@ def relevance_diversity(spark, d):
     return rounded(X.relevance_diversity(line_features(spark, d)), 5)
 
 
+@query("relevance_diversity_pca", """
+WITH scores AS (SELECT silo, n, unnest([1 + abs(vab) / sqrt(va * vb), 1 - abs(vab) / sqrt(va * vb)]) AS variance, unnest([1, 2]) AS component FROM line_moments),
+squares AS (SELECT silo, component, (variance * n / (n - 1)) ** 2 / n AS l FROM scores)
+SELECT s.silo AS src, t.silo AS tgt, round(exp(sum(ln(least(s.l, t.l) / greatest(s.l, t.l))) / 2), 5) AS relevance,
+       round(exp(sum(ln(greatest(abs(s.l - t.l), 1e-300) / greatest(s.l, t.l))) / 2), 5) AS diversity
+FROM squares s JOIN squares t USING (component) WHERE s.silo <> 'Global' GROUP BY s.silo, t.silo""")
+def relevance_diversity_pca(spark, d):
+    """On standardised principal scores, of which two features have two."""
+    return rounded(X.relevance_diversity(line_features(spark, d), components=2), 5)
+
+
 @query("pca_fit")
 def pca_fit(spark, d):
     return rounded(X.pca_fit(fx.silo_vectors(spark, d)).select("client_id", "component", "variance"), 6)

@@ -1,8 +1,8 @@
 """How much of a model's loss on another silo comes from a changed relation of label and features.
 
 A domain classifier tells source from target rows by their features; it is cross-fitted, so that no row is judged by a
-classifier that has seen it. The logistic classifiers of all silo pairs and folds take each Newton step in one job: tasks add
-up gradients and curvatures of every pair that a row belongs to, and only those sums are shuffled.
+classifier that has seen it. The logistic classifiers of all silo pairs and folds take each step in one job: tasks add up the
+gradients of every pair that a row belongs to, and only those sums are shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from silovalue.operators.metrics import GLOBAL
 
 MAX_NUMBERS = 20_000_000
 FOLDS = 8
+STEPS = 12
 
 
 @dataclass
@@ -49,11 +50,33 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, 1, np.exp(-np.abs(z))) / (1 + np.exp(-np.abs(z)))
 
 
-def domain_classifiers(rows: DataFrame, pairs: Pairs, width: int, folds: int = FOLDS, steps: int = 6, ridge: float = 1e-6) -> np.ndarray:
-    """pairs × folds × (features + 1): logistic weights fitted on the rows outside each fold, targets as ones."""
-    shape, cells = (len(pairs.all), folds), width * (width + 1)
-    if shape[0] * folds * cells > MAX_NUMBERS:
+def fold_products(rows: DataFrame, silos: list, width: int, folds: int) -> dict[object, np.ndarray]:
+    """For each silo Σxxᵀ of the rows of each fold, folds × width × width, in one pass."""
+
+    def statistics(_, part: pd.DataFrame) -> np.ndarray:
+        x, own = with_bias(np.stack(part["features"].to_numpy())), part["fold"].to_numpy()
+        return np.stack([x[own == f].T @ x[own == f] for f in range(folds)]).ravel()
+
+    out = {s: np.zeros(folds * width * width) for s in silos}
+    for r in partial_sums(rows, statistics).collect():
+        out[r.client_id][r.pos] = r.value
+    return {s: v.reshape(folds, width, width) for s, v in out.items()}
+
+
+def domain_classifiers(rows: DataFrame, pairs: Pairs, width: int, folds: int = FOLDS, steps: int = STEPS, ridge: float = 1e-6) -> np.ndarray:
+    """pairs × folds × (features + 1): logistic weights fitted on the rows outside each fold, targets as ones.
+
+    The curvature is replaced by its bound, a quarter of Σxxᵀ, which needs one pass in all and never overshoots; the first
+    step from zero is Newton's. So a step shuffles only gradients.
+    """
+    shape = (len(pairs.all), folds)
+    if max(shape[0] * folds * width, len(pairs.silos) * folds * width * width) > MAX_NUMBERS:
         raise ValueError("the classifiers of all pairs are too large for one task")
+    by_fold = fold_products(rows, pairs.silos, width, folds)
+    outside = {s: v.sum(axis=0) - v for s, v in by_fold.items()}
+    outside[GLOBAL] = sum(outside.values())
+    bound = np.stack([(outside[s] + outside[t]) / 4 + ridge * np.eye(width) for s, t in pairs.all])
+    inverse = np.linalg.pinv(bound, hermitian=True)
     weights = np.zeros((*shape, width))
     for _ in range(steps):
         shipped = rows.sparkSession.sparkContext.broadcast((pairs, weights))
@@ -61,27 +84,21 @@ def domain_classifiers(rows: DataFrame, pairs: Pairs, width: int, folds: int = F
         def statistics(silo, part: pd.DataFrame) -> np.ndarray:
             known, w = shipped.value
             x, own = with_bias(np.stack(part["features"].to_numpy())), part["fold"].to_numpy()
-            out = np.zeros((*shape, cells))
+            out = np.zeros((*shape, width))
+            unseen = own[:, None] != np.arange(folds)
             for role, members in ((0.0, known.as_source[silo]), (1.0, known.as_target[silo])):
                 for pair in members:
-                    for f in range(folds):
-                        seen = x[own != f]
-                        p = _sigmoid(seen @ w[pair, f])
-                        out[pair, f, :width] += (role - p) @ seen
-                        out[pair, f, width:] += ((seen * (p * (1 - p))[:, None]).T @ seen).ravel()
+                    out[pair] += ((role - _sigmoid(x @ w[pair].T)) * unseen).T @ x
             return out.ravel()
 
-        sums = partial_sums(rows, statistics).groupBy("pos").agg(F.sum("value").alias("value")).collect()
-        total = np.zeros(shape[0] * folds * cells)
-        for r in sums:
-            total[r.pos] = r.value
-        total = total.reshape(*shape, cells)
-        slope, bend = total[..., :width], total[..., width:].reshape(*shape, width, width)
-        weights = weights + np.linalg.solve(bend + ridge * np.eye(width), slope[..., None])[..., 0]
+        slope = np.zeros(shape[0] * folds * width)
+        for r in partial_sums(rows, statistics).groupBy("pos").agg(F.sum("value").alias("value")).collect():
+            slope[r.pos] = r.value
+        weights = weights + (inverse @ slope.reshape(*shape, width, 1))[..., 0]
     return weights
 
 
-def y_shift_features(df: DataFrame, models: Models, folds: int = FOLDS, seed: int = 13, steps: int = 6, ridge: float = 1e-6, id_col: str = "row_id") -> DataFrame:
+def y_shift_features(df: DataFrame, models: Models, folds: int = FOLDS, seed: int = 13, steps: int = STEPS, ridge: float = 1e-6, id_col: str = "row_id") -> DataFrame:
     """(src, tgt, degradation, shared, shift) of every silo against every silo and Global, over all their rows.
 
     ``df`` is (row id, client_id, features, target); ``models`` has classes × (features + 1) weights of each silo, whose

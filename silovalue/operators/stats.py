@@ -52,7 +52,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided tail of Student's t: the regularised incomplete beta function I(df/2, 1/2) at df / (df + t²).
 
-    The number of steps grows at most with the root of df, whatever the number of rows behind it.
+    The number of steps grows at most with the root of df; the relative error is about df times 1e-16.
     """
     t, a = np.abs(np.asarray(t, dtype=float)), np.asarray(df, dtype=float) / 2
     out = np.full(len(t), np.nan)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silovalue.functions.hashing import hash_below
 from silovalue.functions.lineage import cut_lineage
-from silovalue.operators import distance as X, domain_shift as Y, fit as T, linear_value as L, trees
+from silovalue.operators import distance as X, domain_shift as Y, fit as T, linear_value as L, measures, metrics as M, prep as P, trees
 from silovalue.plans import fixtures as fx
 from silovalue.plans.catalog import query, view
 from silovalue.plans.fixtures import rounded
@@ -232,3 +232,49 @@ def y_shift_features(spark, d):
     models = {s: np.array([[-1.0, 0.5 + 0.1 * s], [1.0, 0.0], [0.0, -9.0]]) for s in range(5)}
     found = Y.y_shift_features(rows, models, steps=1, ridge=0.0)
     return rounded(found.drop("shift"))
+
+
+# ---------------------------------------------------------------- all measures
+
+
+def vector_silos(spark, d) -> measures.Silos:
+    """The vector silos with one softmax step from zero as class models of each silo and of all rows."""
+    labels = F.array(*[F.lit(i) for i in range(10)])
+    rows = cut_lineage(P.train_test_split(T.class_targets(fx.silo_vectors(spark, d), labels), fx.SEED))
+    train = rows.where(F.col("split") == "train")
+    step = T.gradient_step(X.with_global_silo(train.select("client_id", "features", "target")), T.zero_models(["0", "1", "2", "3", "4", M.GLOBAL], 10, 64))
+    models = {(int(s) if s != M.GLOBAL else s): -4.0 * g for s, g in step.gradient.items()}
+    return measures.Silos(rows, models, 0.5)
+
+
+@query("all_measures")
+def all_measures(spark, d):
+    return rounded(measures.all_measures(vector_silos(spark, d)))
+
+
+view("vector_numbers", """
+SELECT row_id, client_id, label, i, x FROM (SELECT row_id, client_id, label, unnest(list_append(features, 1.0::DOUBLE)) AS x, unnest(range(65)) AS i FROM silo_vectors)""")
+view("vector_steps", """
+SELECT CAST(s.client_id AS VARCHAR) AS silo, class, i, -4 * avg((0.1::DOUBLE - CASE WHEN label = class THEN 1 ELSE 0 END) * x) AS w
+FROM (SELECT CAST(client_id AS VARCHAR) AS client_id, row_id, label, i, x FROM vector_numbers UNION ALL SELECT 'Global', row_id, label, i, x FROM vector_numbers) s,
+  (SELECT unnest(range(10)) AS class) WHERE md5('7:' || row_id) >= '4ccccccc' GROUP BY ALL""")
+
+
+@query("class_degradation", """
+WITH models AS (SELECT silo, class, list(w ORDER BY i) AS w FROM vector_steps GROUP BY ALL),
+tests AS (SELECT CAST(client_id AS VARCHAR) AS silo, row_id, label, list_append(features, 1.0::DOUBLE) AS x FROM silo_vectors WHERE md5('7:' || row_id) < '4ccccccc'),
+scores AS (SELECT m.silo AS model, t.silo, row_id, label, class, list_dot_product(x, w) AS s FROM tests t, models m),
+losses AS (SELECT model, silo, row_id, ln(sum(exp(s))) - max(s) FILTER (WHERE class = label) AS ce FROM scores GROUP BY ALL),
+means AS (SELECT model, silo, avg(ce) AS value FROM losses GROUP BY ALL UNION ALL SELECT model, 'Global', avg(ce) FROM losses GROUP BY ALL)
+SELECT 'performanceDegradation' AS measure, a.model AS src, a.silo AS tgt, round(a.value - b.value, 5) AS value FROM means a JOIN means b ON b.silo = a.silo AND b.model = a.silo
+WHERE a.model <> 'Global'""")
+def class_degradation(spark, d):
+    """Cross entropy of each silo's softmax model on the others' test rows against their own models."""
+    return rounded(measures.all_measures(vector_silos(spark, d), only=("performanceDegradation",)), 5)
+
+
+@query("all_measures_regression")
+def all_measures_regression(spark, d):
+    """The measures that a regression target allows, of the order prices."""
+    rows = price_rows(spark, d).withColumn("row_id", F.monotonically_increasing_id())
+    return rounded(measures.all_measures(measures.Silos(rows), regression=True, only=("performanceDegradation", "relevance", "diversity", "volume")))

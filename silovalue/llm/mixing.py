@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from silovalue.llm import common
 
@@ -50,8 +50,29 @@ def rate(most: int = 2) -> Column:
 
 
 def _unit(seed: int) -> Column:
-    """A fixed number in [0, 1) for each document."""
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A fixed number in [0, 1) for each document and each of its repetitions."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "occurrence"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``occurrence``: 0 for a row of its own, 0, 1, … for rows that share doc_id, source and size.
+
+    Where there are none, nothing is moved. Else the rows are written with the number of their partition and counted inside
+    it, and only counts by partition are put in line, so that a row repeated very often is numbered by all tasks.
+    """
+    keys = ["doc_id", "source", "size"]
+    if not rows.groupBy(*keys).count().where("count > 1").take(1):
+        return rows.withColumn("occurrence", F.lit(0).cast("bigint"))
+    kept = common.stored(rows.withColumn("_part", F.spark_partition_id()), "mix-rows")
+    counted = kept.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("n")
+    offsets = common.stored(counted.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), before.alias("_before")), "mix-offsets")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.xxhash64("doc.text"))) - 1
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    placed = kept.withColumn("_inside", inside).join(offsets, same)
+    return placed.withColumn("occurrence", (F.col("_before") + F.col("_inside")).cast("bigint")).select(*rows.columns, "occurrence")
 
 
 def _whole(shift: Column, seed: int, most: int) -> Column:
@@ -59,7 +80,7 @@ def _whole(shift: Column, seed: int, most: int) -> Column:
 
 
 def copies(seed: int = 0, most: int = 2) -> Column:
-    more = F.size(F.filter("extra", lambda x: (x["doc_id"] == F.col("doc_id")) & (x["size"] == F.col("size"))))
+    more = F.size(F.filter("extra", lambda x: (x["doc_id"] == F.col("doc_id")) & (x["size"] == F.col("size")) & (F.col("occurrence") == 0)))
     return F.least(F.lit(most), _whole(F.col("shift"), seed, most) + F.greatest(more, F.lit(0))).cast("int")
 
 
@@ -67,7 +88,7 @@ class Plan:
     """Targets, slopes, shifts and extra copies of all sources."""
 
     def __init__(self, sizes: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int):
-        """``sizes``: (doc_id, source, size), read several times."""
+        """``sizes``: (doc_id, source, size, occurrence), read several times."""
         self.spark, self.most, self.seed = sizes.sparkSession, most, seed
         hist = common.stored(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
         totals = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("s")).limit(MAX_SOURCES + 1).collect()
@@ -135,7 +156,8 @@ class Plan:
         for _ in range(FILL_ROUNDS):
             self.lack = self.target - taken
             open_rows = self.on(sizes).withColumn("copies", copies(self.seed, self.most))
-            fit = (F.col("size") <= F.col("lack")) & (F.col("copies") < self.most) & F.col("doc_id").isNotNull()
+            first = F.col("doc_id").isNotNull() & (F.col("occurrence") == 0)
+            fit = (F.col("size") <= F.col("lack")) & (F.col("copies") < self.most) & first
             picks = open_rows.where(fit).groupBy("source").agg(F.max(F.struct("size", "doc_id")).alias("p")).collect()
             if not picks:
                 return
@@ -148,15 +170,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     """(doc, size, source_size, target, rate, copies): doc is a struct of the document's own columns, whatever their names.
 
     Sources by code point, null last, take the weights in turn. Null text or no words: size 0, which takes no words. Rows
-    that share doc_id and size share their copies, so reruns agree whatever the partitions; a null source is a source of
-    its own; a null doc_id is never used to fill up. An empty table stays empty.
+    that share doc_id, source and size are numbered, so that each has its own chance and reruns take as many of them; a null
+    source is a source of its own; a null doc_id is never used to fill up. An empty table stays empty.
     """
-    columns = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source")
-    sizes = common.stored(docs.select(*columns, words().alias("size")), "mix-docs")
-    plan = Plan(sizes, weights, share, most, seed)
-    whole = docs.select(F.struct("*").alias("doc")).select(
+    whole = numbered(docs.select(F.struct("*").alias("doc")).select(
         "doc", F.col("doc.source").cast("string").alias("source"), F.col("doc.doc_id").cast("bigint").alias("doc_id"),
-        words("doc.text").alias("size"))
+        words("doc.text").alias("size")))
+    sizes = common.stored(whole.select("doc_id", "source", "size", "occurrence"), "mix-docs")
+    plan = Plan(sizes, weights, share, most, seed)
     return plan.on(whole).select(
         "doc", "size", "source_size", "target", rate(most).alias("rate"), copies(seed, most).alias("copies"))
 

@@ -113,3 +113,15 @@ def test_mixing_meets_its_targets(spark):
 
 def test_mixing_nothing(spark):
     assert mixing.mix(frame(spark).where(F.lit(False))).count() == 0
+
+
+def test_mixing_of_repeated_rows_meets_the_targets(spark):
+    rows = [(7, "one two three four five six seven eight nine ten", "a")] * 1000 + [(i, "word " * (i % 40), "b") for i in range(400)] + [(None, "x y", None)] * 90
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    totals = []
+    for parts in (7, 3):
+        found = mixing.digest(mixing.mix(docs.repartition(parts)))
+        by_source = found.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+        assert all(abs(r.taken - r.target) <= max(12, 0.02 * r.target) and r.over <= 0 for r in by_source)
+        totals.append(sorted((r.source_size, r.taken) for r in by_source))
+    assert totals[0] == totals[1]

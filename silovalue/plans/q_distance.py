@@ -402,3 +402,13 @@ def scan_distance_matrix(spark, d):
     T.write_report(T.sink_distances(table, "negativeConditionalEntropy", names), path)
     schema = "src string, " + ", ".join(f"`{n}` double" for n in names)
     return rounded(T.scan_distance_matrix(T.scan_csv(spark, path, schema)))
+
+
+@query("reports_distances", "SELECT measure, src, tgt, round(value, 6) AS value FROM event_measures")
+def reports_distances(spark, d):
+    from silovalue.plans.q_prep import _reported
+    from silovalue.sources import tables as T
+
+    table = event_measures(spark, d, fx.EventModel(spark, d))
+    found = _reported(spark, table, ["Global", "0", "1", "2", "3"], T.sink_distances, T.scan_distance_matrix, "measure")
+    return rounded(found.select("measure", "src", "tgt", "value"))

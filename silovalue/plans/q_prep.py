@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silovalue.functions.lineage import scratch_path
+from silovalue.functions.lineage import control_table, scratch_path
 from silovalue.operators import combine as A, prep as P
 from silovalue.plans import fixtures as fx
 from silovalue.plans.catalog import query, view
@@ -319,3 +319,27 @@ def sink_shapley(spark, d):
     model = fx.round_model(spark, d)
     sv = fx.round_shapley(model, fx.round_utility(model, ["CrossEntropyLoss", "MCC"])).drop("class")
     return rounded(T.sink_shapley(sv, "MCC", ["0", "1", "2", "3"]))
+
+
+def _reported(spark, long, names, sink, melt, by="metric"):
+    """A long table written as the matrices of all its metrics and read back."""
+    path = scratch_path(spark, "reports")
+    return T.scan_reports(spark, path, T.write_reports(control_table(long), path, sink, names, by), melt, by)
+
+
+@query("reports_evaluation", "SELECT round, metric, class, evaluator AS silo, round(value, 6) AS value FROM round_evaluation")
+def reports_evaluation(spark, d):
+    """All metrics of all rounds, the one by class included, through their files."""
+    model = fx.round_model(spark, d)
+    rows = fx.round_evaluation(fx.round_utility(model))
+    found = _reported(spark, rows, ["0", "1", "2", "3", "Global"], T.sink_evaluation, T.scan_metric_matrix)
+    return rounded(found.select("round", "metric", "class", "silo", "value"))
+
+
+@query("reports_shapley", """
+SELECT round, metric, class, evaluator, CAST(client_id AS VARCHAR) AS silo, round(value, 6) AS value FROM round_shapley""")
+def reports_shapley(spark, d):
+    model = fx.round_model(spark, d)
+    sv = fx.round_shapley(model, fx.round_utility(model))
+    found = _reported(spark, sv, ["0", "1", "2", "3"], T.sink_shapley, T.scan_metric_matrix)
+    return rounded(found.select("round", "metric", "class", "evaluator", "silo", "value"))

@@ -121,3 +121,31 @@ def sink_distances(distance: DataFrame, measure: str, names: list[str] | None =
 def write_report(wide: DataFrame, path: str) -> None:
     """A result matrix as CSV with header. It has one row per round or silo, so one file is enough."""
     wide.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_reports(long: DataFrame, path: str, sink: Callable[[DataFrame, str, list[str]], DataFrame | None], names: list[str], by: str = "metric") -> dict[str, str]:
+    """Every metric's (or measure's) matrix as CSV in a folder of its own: its name → the schema to read it with.
+
+    A metric with classes keeps its class level; one without has no such column. Metrics without rows are not written. The
+    long table is read once per metric, so it should be a stored one.
+    """
+    found = long.groupBy(by).agg(F.max(F.col("class").isNotNull()).alias("classes") if "class" in long.columns else F.lit(False).alias("classes"))
+    schemas = {}
+    for r in found.orderBy(by).collect():
+        wide = sink(long if r["classes"] or "class" not in long.columns else long.drop("class"), r[by], names)
+        if wide is not None:
+            write_report(wide, f"{path}/{r[by]}")
+            schemas[r[by]] = ", ".join(f"`{c}` {'double' if c in names else t}" for c, t in wide.dtypes)
+    return schemas
+
+
+def scan_reports(spark: SparkSession, path: str, schemas: dict[str, str], melt_one: Callable[[DataFrame], DataFrame], by: str = "metric") -> DataFrame:
+    """What ``write_reports`` has written, as one long table; ``class`` is null where a metric has none."""
+    parts = []
+    for name, schema in schemas.items():
+        part = melt_one(scan_csv(spark, f"{path}/{name}", schema)).withColumn(by, F.lit(name))
+        parts.append(part)
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part, allowMissingColumns=True)
+    return table

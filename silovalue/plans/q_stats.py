@@ -70,23 +70,27 @@ def average_ranks(spark, d):
     return rounded(C.average_ranks(source_stats(spark, d), ["lang"], ["x", "y"]).select("lang", "x", "y"))
 
 
-# Four languages are few enough for all permutations: per source, documents against mean length over its languages.
-PERMUTED = """
-WITH ranked AS (SELECT client_id, count(*) OVER (PARTITION BY client_id) AS n,
-  row_number() OVER (PARTITION BY client_id ORDER BY lang) - 1 AS i,
-  rank() OVER (PARTITION BY client_id ORDER BY x) + (count(*) OVER (PARTITION BY client_id, x) - 1) / 2 AS x,
-  rank() OVER (PARTITION BY client_id ORDER BY y) + (count(*) OVER (PARTITION BY client_id, y) - 1) / 2 AS y FROM source_stats),
-packed AS (SELECT client_id, any_value(n) AS n, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, corr(x, y) AS r FROM ranked GROUP BY client_id),
+def permuted(source: str, keys: str, item: str) -> str:
+    """SQL of the rank coefficient of x and y for each key with 2 to 4 items, and its p over all permutations."""
+    return f"""
+WITH ranked AS (SELECT {keys}, count(*) OVER (PARTITION BY {keys}) AS n, row_number() OVER (PARTITION BY {keys} ORDER BY {item}) - 1 AS i,
+  rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2 AS x,
+  rank() OVER (PARTITION BY {keys} ORDER BY y) + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2 AS y FROM {source}),
+packed AS (SELECT {keys}, any_value(n) AS n, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, corr(x, y) AS r FROM ranked GROUP BY {keys}),
 idx AS (SELECT unnest(range(4)) AS v),
 perms AS (SELECT 2 AS size, [a.v, b.v] AS p FROM idx a, idx b WHERE a.v <> b.v AND a.v < 2 AND b.v < 2
   UNION ALL SELECT 3, [a.v, b.v, c.v] FROM idx a, idx b, idx c WHERE a.v <> b.v AND a.v <> c.v AND b.v <> c.v AND greatest(a.v, b.v, c.v) < 3
   UNION ALL SELECT 4, [a.v, b.v, c.v, e.v] FROM idx a, idx b, idx c, idx e
   WHERE a.v <> b.v AND a.v <> c.v AND a.v <> e.v AND b.v <> c.v AND b.v <> e.v AND c.v <> e.v),
-tried AS (SELECT client_id, any_value(r) AS r, corr(xs[i + 1], ys[p[i + 1] + 1]) AS q
-  FROM packed JOIN perms ON size = n JOIN idx_places ON i < n GROUP BY client_id, p)
-SELECT client_id, round(any_value(r), 6) AS r,
+tried AS (SELECT {keys}, any_value(r) AS r, corr(xs[i + 1], ys[p[i + 1] + 1]) AS q
+  FROM packed JOIN perms ON size = n JOIN (SELECT unnest(range(4)) AS i) AS places ON i < n GROUP BY {keys}, p)
+SELECT {keys}, round(any_value(r), 6) AS r,
        round(least(1, 2 * least(avg(CASE WHEN q >= r - 1e-12 THEN 1.0 ELSE 0 END), avg(CASE WHEN q <= r + 1e-12 THEN 1.0 ELSE 0 END))), 6) AS p
-FROM tried WHERE NOT isnan(r) GROUP BY client_id""".replace("idx_places", "(SELECT unnest(range(4)) AS i) AS places")
+FROM tried WHERE NOT isnan(r) GROUP BY {keys}"""
+
+
+# Four languages are few enough for all permutations: per source, documents against mean length over its languages.
+PERMUTED = permuted("source_stats", "client_id", "lang")
 
 
 @query("spearman_permutation_p", PERMUTED)
@@ -153,13 +157,16 @@ def _totals(model):
     return S.shapley_totals(sv, ["evaluator", "metric", "client_id"])
 
 
-@query("sv_agreement", """
+view("sv_sides", """
 WITH agg AS (SELECT metric, v.client_id, sum(share * value) AS y FROM sv_totals v
-  JOIN shares s ON v.evaluator = CAST(s.client_id AS VARCHAR) GROUP BY ALL),
-paired AS (SELECT metric, client_id, value AS x, y FROM sv_totals JOIN agg USING (metric, client_id) WHERE evaluator = 'Global'),
-ranked AS (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY x) AS x, rank() OVER (PARTITION BY metric ORDER BY y) AS y FROM paired)
-SELECT metric, round((SELECT corr(x, y) FROM ranked r WHERE r.metric = b.metric), 6) AS spearman, round(corr(x, y), 6) AS pearson,
-       round(1 - abs(corr(x, y)), 6) AS pearson_p FROM paired b GROUP BY metric""")
+  JOIN shares s ON v.evaluator = CAST(s.client_id AS VARCHAR) GROUP BY ALL)
+SELECT metric, client_id, value AS x, y FROM sv_totals JOIN agg USING (metric, client_id) WHERE evaluator = 'Global'""")
+view("sv_ranked", permuted("sv_sides", "metric", "client_id"))
+
+
+@query("sv_agreement", """
+SELECT b.metric, any_value(r.r) AS spearman, any_value(r.p) AS spearman_p, round(corr(x, y), 6) AS pearson, round(1 - abs(corr(x, y)), 6) AS pearson_p
+FROM sv_sides b JOIN sv_ranked r ON r.metric = b.metric GROUP BY b.metric""")
 def sv_agreement(spark, d):
     """Centralized against share-weighted values over the event silos; with four silos p of Pearson is 1 − |r|."""
     model = fx.round_model(spark, d)
@@ -169,7 +176,7 @@ def sv_agreement(spark, d):
     both = totals.where(F.col("evaluator") == M.GLOBAL).withColumn("evaluator", F.lit("Centralized")).unionByName(
         pooled.withColumn("evaluator", F.lit("Aggregated")).select("evaluator", "metric", "client_id", "value")
     )
-    return rounded(C.sv_agreement(both, ["metric"]).drop("spearman_p"))
+    return rounded(C.sv_agreement(both, ["metric"]))
 
 
 @query("sv_distance_join", """
@@ -196,18 +203,23 @@ def sv_distance_correlation(spark, d):
     return rounded(C.sv_distance_correlation(_totals(model), event_measures(spark, d, model)))
 
 
+view("sv_measured", """
+SELECT metric, measure, v.evaluator, v.client_id, v.value AS x, m.value AS y FROM sv_totals v
+JOIN event_measures m ON v.evaluator = m.tgt AND CAST(v.client_id AS VARCHAR) = m.src""")
+view("sv_measure_ranked", permuted("sv_measured", "metric, measure, evaluator", "client_id"))
+view("sv_measure_straight", """
+SELECT metric, measure, evaluator, corr(x, y) AS r, 1 - abs(corr(x, y)) AS p FROM sv_measured GROUP BY ALL""")
+
+
 @query("join_correlations", """
-WITH joined AS (SELECT metric, measure, v.evaluator, v.value AS x, m.value AS y FROM sv_totals v
-  JOIN event_measures m ON v.evaluator = m.tgt AND CAST(v.client_id AS VARCHAR) = m.src WHERE v.evaluator = 'Global'),
-ranked AS (SELECT metric, measure, rank() OVER (PARTITION BY metric, measure ORDER BY x) AS x,
-  rank() OVER (PARTITION BY metric, measure ORDER BY y) AS y FROM joined)
-SELECT metric, measure, round(s, 6) AS spearman, round(r, 6) AS pearson, round(1 - abs(r), 6) AS pearson_p
-FROM (SELECT metric, measure, corr(x, y) AS s FROM ranked GROUP BY ALL) JOIN (SELECT metric, measure, corr(x, y) AS r FROM joined GROUP BY ALL)
-USING (metric, measure)""")
+WITH both_ AS (SELECT metric, measure, evaluator, a.r AS s, a.p AS sp, b.r AS r, b.p AS p FROM sv_measure_ranked a JOIN sv_measure_straight b USING (metric, measure, evaluator))
+SELECT metric, measure, side, round(spearman, 5) AS spearman, round(spearman_p, 5) AS spearman_p, round(pearson, 5) AS pearson, round(pearson_p, 5) AS pearson_p FROM (
+  SELECT metric, measure, 'Centralized' AS side, s AS spearman, sp AS spearman_p, r AS pearson, p AS pearson_p FROM both_ WHERE evaluator = 'Global'
+  UNION ALL SELECT metric, measure, 'Decentralized', tanh(avg(atanh(greatest(least(s, 1 - 1e-15), -1 + 1e-15)))), avg(sp),
+    tanh(avg(atanh(greatest(least(r, 1 - 1e-15), -1 + 1e-15)))), avg(p) FROM both_ WHERE evaluator <> 'Global' GROUP BY metric, measure)""")
 def join_correlations(spark, d):
+    """Both coefficients with their p-values, against Global and as the mean over the silos."""
     model = fx.round_model(spark, d)
-    totals = control_table(_totals(model).where(F.col("evaluator") == M.GLOBAL))
-    measures = control_table(event_measures(spark, d, model))
-    ranks = C.sv_distance_correlation(totals, measures, "spearman").where(F.col("side") == "Centralized")
-    straight = C.sv_distance_correlation(totals, measures).where(F.col("side") == "Centralized")
-    return rounded(C.join_correlations(ranks, straight, ["metric", "measure"]).drop("spearman_p"))
+    totals, measures = control_table(_totals(model)), control_table(event_measures(spark, d, model))
+    ranks, straight = (C.sv_distance_correlation(totals, measures, m) for m in ("spearman", "pearson"))
+    return rounded(C.join_correlations(ranks, straight, ["metric", "measure", "side"]), 5)

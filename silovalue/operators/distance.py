@@ -366,16 +366,16 @@ def robust_volume(df: DataFrame, omega: float = 0.1, features: str = "features")
 # ---------------------------------------------------------------- transport
 
 
-def _cell_pieces(cumulative: DataFrame, group: list[str], total: str, scale: Column, cells: int) -> DataFrame:
+def _cell_pieces(cumulative: DataFrame, total: str, scale: str, cells: int) -> DataFrame:
     """Splits each value's mass interval at the borders of ``cells`` equal cells of the mass axis.
 
     Positions are whole numbers on an axis of n·m·cells, so that both sides and the borders meet exactly.
     """
     exact = "decimal(38,0)"
-    width = F.col(total).cast(exact) * scale.cast(exact)
-    high = (F.col("upto").cast(exact) * scale.cast(exact) * cells).cast(exact)
-    low = ((F.col("upto") - F.col("n")).cast(exact) * scale.cast(exact) * cells).cast(exact)
-    spanned = cumulative.withColumn("_w", width.cast(exact)).withColumn("_lo", low).withColumn("_hi", high)
+    size, other = F.col(total).cast(exact), F.col(scale).cast(exact)
+    high = (F.col("upto").cast(exact) * other * cells).cast(exact)
+    low = ((F.col("upto") - F.col("n")).cast(exact) * other * cells).cast(exact)
+    spanned = cumulative.withColumn("_w", (size * other).cast(exact)).withColumn("_lo", low).withColumn("_hi", high)
     first = F.floor(F.col("_lo") / F.col("_w")).cast("int")
     last = F.ceil(F.col("_hi") / F.col("_w")).cast("int") - 1
     return spanned.withColumn("cell", F.explode(F.sequence(first, last))).withColumn(
@@ -383,51 +383,65 @@ def _cell_pieces(cumulative: DataFrame, group: list[str], total: str, scale: Col
     ).withColumn("_start", F.greatest(F.col("_lo"), (F.col("cell").cast(exact) * F.col("_w")).cast(exact)))
 
 
-def transport_1d(source: DataFrame, target: DataFrame, value: str = "value", cells: int = 1024) -> DataFrame:
-    """(source value, target value, mass): the exact optimal coupling of two samples on a line, both of mass 1.
+def transport_pairs(df: DataFrame, pairs: DataFrame, value: str = "value", cells: int | None = None, client: str = "client_id") -> DataFrame:
+    """(src, tgt, src_value, tgt_value, mass): the exact optimal coupling of two silos' samples on a line for each pair.
 
-    Equal values are counted together; the sorted mass intervals of both sides are cut at common cell borders, and inside
-    a cell the two lists of interval ends are merged by a window. No pairs are formed and no cell holds more than a
-    1/cells share of the mass. Null and NaN values take no part: the mass of the others is 1.
+    Both sides of a pair have mass 1. Values are counted once per silo; the sorted mass intervals of both sides are cut at
+    common cell borders, and inside a cell the two lists of interval ends are merged by a window. No pairs of values are
+    formed and no cell holds more than a 1/cells share of the mass; without ``cells`` there are 16 for each shuffle partition
+    of the session, 1,024 at least. Null and NaN values take no part; a silo without values couples with nothing.
     """
-    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    source, target = source.where(known), target.where(known)
-    s = cumulative_counts(source.select(value), [], value)
-    t = cumulative_counts(target.select(value), [], value)
-    n, m = source.agg(F.count(F.lit(1))).scalar(), target.agg(F.count(F.lit(1))).scalar()
-    left = _cell_pieces(s.withColumn("_n", n).withColumn("_m", m), [], "_n", F.col("_m"), cells)
-    right = _cell_pieces(t.withColumn("_n", n).withColumn("_m", m), [], "_m", F.col("_n"), cells)
-    ends = left.select("cell", "_start", "_end", "_w", F.col(value).alias("_s"), F.lit(None).cast("double").alias("_t")).unionByName(
-        right.select("cell", "_start", "_end", "_w", F.lit(None).cast("double").alias("_s"), F.col(value).alias("_t"))
+    if cells is None:
+        cells = max(1024, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = df.select(F.col(client).cast("string").alias("c"), value).where(
+        F.col(client).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = control_table(cumulative_counts(known, ["c"], value))
+    sizes = counted.groupBy("c").agg(F.max("upto").alias("rows"))
+    wanted = control_table(pairs.select(F.col("src").cast("string").alias("src"), F.col("tgt").cast("string").alias("tgt")).join(
+        sizes.toDF("src", "_n"), "src").join(sizes.toDF("tgt", "_m"), "tgt"))
+    left = _cell_pieces(wanted.join(counted.withColumnRenamed("c", "src"), "src"), "_n", "_m", cells)
+    right = _cell_pieces(wanted.join(counted.withColumnRenamed("c", "tgt"), "tgt"), "_m", "_n", cells)
+    kind = dict(df.dtypes)[value]
+    none = F.lit(None).cast(kind)
+    ends = left.select("src", "tgt", "cell", "_start", "_end", "_w", F.col(value).alias("_s"), none.alias("_t")).unionByName(
+        right.select("src", "tgt", "cell", "_start", "_end", "_w", none.alias("_s"), F.col(value).alias("_t"))
     )
-    merged = ends.groupBy("cell", "_end", "_w").agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"), F.min("_start").alias("_start"))
-    order = Window.partitionBy("cell").orderBy("_end")
+    merged = ends.groupBy("src", "tgt", "cell", "_end", "_w").agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"), F.min("_start").alias("_start"))
+    order = Window.partitionBy("src", "tgt", "cell").orderBy("_end")
     after = order.rowsBetween(0, Window.unboundedFollowing)
     from_here = F.coalesce(F.lag("_end").over(order), (F.col("cell").cast("decimal(38,0)") * F.col("_w")).cast("decimal(38,0)"))
     pieces = merged.select(
-        F.first("_s", ignorenulls=True).over(after).alias("src_value"),
+        "src", "tgt", F.first("_s", ignorenulls=True).over(after).alias("src_value"),
         F.first("_t", ignorenulls=True).over(after).alias("tgt_value"),
         (F.col("_end") - from_here).cast("double").alias("piece"), "_w",
     )
-    return pieces.groupBy("src_value", "tgt_value").agg(
+    return pieces.groupBy("src", "tgt", "src_value", "tgt_value").agg(
         (F.sum("piece") / F.max(F.col("_w").cast("double") * cells)).alias("mass")
     )
 
 
-def transport_cost(coupling: DataFrame) -> DataFrame:
-    """One row: Σ mass · (x − y)²."""
+def transport_1d(source: DataFrame, target: DataFrame, value: str = "value", cells: int | None = None) -> DataFrame:
+    """(source value, target value, mass): ``transport_pairs`` of two samples."""
+    rows = source.select(F.lit("source").alias("client_id"), value).unionByName(target.select(F.lit("target").alias("client_id"), value))
+    pair = source.sparkSession.createDataFrame([("source", "target")], "src string, tgt string")
+    return transport_pairs(rows, pair, value, cells).select("src_value", "tgt_value", "mass")
+
+
+def transport_cost(coupling: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Σ mass · (x − y)², one row for each key."""
     gap = F.col("src_value") - F.col("tgt_value")
-    return coupling.agg(F.sum(F.col("mass") * gap * gap).alias("cost"))
+    return coupling.groupBy(*(keys or [])).agg(F.sum(F.col("mass") * gap * gap).alias("cost"))
 
 
-def label_coupling_entropy(coupling: DataFrame, src_labels: DataFrame, tgt_labels: DataFrame) -> DataFrame:
-    """One row: conditional entropy of the target label given the source label under a transport plan.
+def label_coupling_entropy(coupling: DataFrame, src_labels: DataFrame, tgt_labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Conditional entropy of the target label given the source label under a transport plan, one row for each key.
 
-    ``coupling`` is (src, tgt, mass); the label tables are (src, y1) and (tgt, y2).
+    ``coupling`` is (keys, src, tgt, mass); the label tables are (src, y1) and (tgt, y2).
     """
-    joint = coupling.join(src_labels, "src").join(tgt_labels, "tgt").groupBy("y1", "y2").agg(F.sum("mass").alias("p"))
-    given = joint.groupBy("y1").agg(F.sum("p").alias("p1"))
-    return joint.where(F.col("p") > 0).join(given, "y1").agg(
+    by = keys or []
+    joint = coupling.join(src_labels, "src").join(tgt_labels, "tgt").groupBy(*by, "y1", "y2").agg(F.sum("mass").alias("p"))
+    given = Window.partitionBy(*by, "y1")
+    return joint.where(F.col("p") > 0).withColumn("p1", F.sum("p").over(given)).groupBy(*by).agg(
         F.sum(-F.col("p") * F.ln(F.col("p") / F.col("p1"))).alias("value")
     )
 

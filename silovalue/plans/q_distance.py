@@ -253,6 +253,41 @@ def label_coupling_entropy(spark, d):
     return rounded(X.label_coupling_entropy(plan, left, right))
 
 
+view("coupling_pairs", """
+WITH c AS (SELECT client_id, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY client_id ORDER BY value) AS hi FROM silo_events GROUP BY client_id, value),
+z AS (SELECT client_id, sum(n)::BIGINT AS rows FROM c GROUP BY client_id),
+x AS (SELECT s.client_id AS src, t.client_id AS tgt, value, s.rows AS ns, t.rows AS nt, (hi * t.rows)::BIGINT AS hi, ((hi - n) * t.rows)::BIGINT AS lo
+  FROM c JOIN z s ON s.client_id = c.client_id JOIN z t ON t.client_id <> c.client_id),
+y AS (SELECT s.client_id AS src, t.client_id AS tgt, value, (hi * s.rows)::BIGINT AS hi, ((hi - n) * s.rows)::BIGINT AS lo
+  FROM c JOIN z t ON t.client_id = c.client_id JOIN z s ON s.client_id <> c.client_id)
+SELECT x.src, x.tgt, x.value AS src_value, y.value AS tgt_value, (least(x.hi, y.hi) - greatest(x.lo, y.lo))::DOUBLE / ns / nt AS mass
+FROM x JOIN y ON x.src = y.src AND x.tgt = y.tgt AND x.lo < y.hi AND y.lo < x.hi""")
+
+
+def _all_couplings(spark, d):
+    rows = fx.silo_events(spark, d).select("client_id", "value")
+    pairs = X.client_pairs(rows).where((F.col("src") != F.col("tgt")) & (F.col("tgt") != M.GLOBAL))
+    return X.transport_pairs(rows, pairs)
+
+
+@query("transport_cost_pairs", """
+SELECT CAST(src AS VARCHAR) AS src, CAST(tgt AS VARCHAR) AS tgt, round(sum(mass * (src_value - tgt_value) ** 2), 4) AS cost FROM coupling_pairs GROUP BY src, tgt""")
+def transport_cost_pairs(spark, d):
+    return rounded(X.transport_cost(_all_couplings(spark, d), ["src", "tgt"]), 4)
+
+
+@query("label_coupling_entropy_pairs", """
+WITH joint AS (SELECT src, tgt, CAST(floor(src_value / 20) AS BIGINT) AS y1, CAST(floor(tgt_value / 25) AS BIGINT) AS y2, sum(mass) AS p FROM coupling_pairs GROUP BY ALL)
+SELECT CAST(src AS VARCHAR) AS source, CAST(tgt AS VARCHAR) AS target, round(sum(-p * ln(p / p1)), 6) AS value
+FROM (SELECT *, sum(p) OVER (PARTITION BY src, tgt, y1) AS p1 FROM joint) WHERE p > 0 GROUP BY src, tgt""")
+def label_coupling_entropy_pairs(spark, d):
+    """All pairs of silos; the class of a source value is its band of 20, that of a target value its band of 25."""
+    plan = _all_couplings(spark, d).toDF("source", "target", "src", "tgt", "mass")
+    left = plan.select("src").distinct().withColumn("y1", F.floor(F.col("src") / 20))
+    right = plan.select("tgt").distinct().withColumn("y2", F.floor(F.col("tgt") / 25))
+    return rounded(X.label_coupling_entropy(plan, left, right, ["source", "target"]))
+
+
 # ---------------------------------------------------------------- transfer (events)
 
 view("silo_models", """

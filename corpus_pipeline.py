@@ -10,6 +10,9 @@ from silovalue.llm import mixing, ngram_join, packing, toxicity
 from silovalue.llm.common import table
 
 
+CACHED_WORDS = 250_000  # workers of the last stage stand beside executors that the earlier ones have filled
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5, by a lexicon learned from the labelled ones among them."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -27,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of binary length with their ids."""
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED_WORDS))
 
 
 STAGES = [

@@ -15,6 +15,7 @@ from silovalue.functions.lineage import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 4_000_000  # text handled at once inside a task
+BATCH_SETTING, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 MAX_CACHED_WORDS = 900_000
 
 
@@ -22,8 +23,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB, unless the session has its own size: two workers of an executor and the
+    buffers on both sides hold a multiple of it."""
+    if spark.conf.get(BATCH_SETTING, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, "4m")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared scratch folder and read back: later steps don't compute it again, lost executors included."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,6 +58,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
             for part in slices(batch) if "text" in batch.schema.names else (batch,):
                 yield from function(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -121,7 +131,7 @@ class Tokens:
     MARKS = r"\n!-&(-/:-@\[-`{-~"  # not the apostrophe, which starts contractions
     UNSURE = r" ([\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_CACHED_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,7 +140,7 @@ class Tokens:
         self.joined, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.separator = self.joined.token_to_id(self.SEPARATOR)
-        self.spaces_count = self.joined.normalizer is None
+        self.spaces_count, self.most = self.joined.normalizer is None, most
         self._clear()
 
     def _clear(self) -> None:
@@ -160,7 +170,7 @@ class Tokens:
         bounds = bounds - bounds[0]
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > MAX_CACHED_WORDS:
+        if len(self.known) > self.most:
             self._clear()
         new = [w for w in distinct if w not in self.known]
         if new:
@@ -194,10 +204,11 @@ class Tokens:
 _LOADED: dict[str, Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
-    """One tokenizer for each worker process."""
+def tokens(path: str, most: int = MAX_CACHED_WORDS) -> Tokens:
+    """One tokenizer for each worker process, with at most about ``most`` parts of texts in its cache."""
     if path not in _LOADED:
-        _LOADED[path] = Tokens(path)
+        _LOADED[path] = Tokens(path, most)
+    _LOADED[path].most = most
     return _LOADED[path]
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from silovalue.functions.lineage import cut_lineage
+from silovalue.functions.lineage import small_side
 from silovalue.llm import common
 
 SHINGLE = 5
@@ -76,7 +76,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarra
 
 
 def summaries(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bits, mask, leads): size, 128-bit fingerprint and bitmaps of the set, its first shingles."""
+    """(doc_id, n_shingles, f1, f2, bits, mask, leads, prefix): size, 128-bit fingerprint and bitmaps of the set, its first shingles."""
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -84,11 +84,13 @@ def summaries(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFram
             data = s.tobytes()
             f1, f2 = (xxhash.xxh3_64_intdigest(data, seed=x) for x in (1, 2)) if len(s) else (0, 0)
             leads = s[: min(LEADERS, prefix_length(len(s), least))] if len(s) else s
-            rows.append((doc, len(s), f1 - (1 << 63), f2 - (1 << 63), bitmap(s) if len(s) else b"", mask(s), leads.view(np.int64).tolist()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "n_shingles", "f1", "f2", "bits", "mask", "leads"])
+            rows.append((doc, len(s), f1 - (1 << 63), f2 - (1 << 63), bitmap(s) if len(s) else b"", mask(s), leads.view(np.int64).tolist(),
+                         s[: prefix_length(len(s), least)].tobytes()))
+        names = ["doc_id", "n_shingles", "f1", "f2", "bits", "mask", "leads", "prefix"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return common.map_batches(docs, one, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits binary, mask binary, leads array<bigint>")
+    return common.map_batches(docs, one, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bits binary, mask binary, leads array<bigint>, prefix binary")
 
 
 def slot_filter(keys: DataFrame, key: str, most: int = MOST_SLOTS) -> bytes:
@@ -125,53 +127,126 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-PLAIN, LATER, LISTED = "plain", "later", "listed"
+class Repeats:
+    """Remembers some of the sets that a task has seen, in bounded memory: copies are then mostly listed once, as their class
+    edges join them anyway."""
 
+    def __init__(self):
+        self.marks = np.zeros(1 << 16, dtype=np.int64)
 
-def postings(docs: DataFrame, k: int, least: int, kind: str, heavy: np.ndarray | None = None, plain: bytes = b"", later: bytes = b"") -> DataFrame:
-    """Keys under which each set is listed: its first shingles, in the order of hashes with the heavy ones moved to the end.
+    def new(self, f1: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(f1), dtype=bool)
+        for i, mark in enumerate(f1.tolist()):
+            at = mark & 0xFFFF
+            if self.marks[at] != mark:
+                self.marks[at], out[i] = mark, True
+        return out
 
-    ``plain``: (key) of the order without moves, to be counted. ``later``: (key) of those that moves have brought in.
-    ``listed``: (key, doc_id, n, place) of all but the keys that no other document can have: a key of the order without
-    moves stays if it was counted twice there or if a move has brought it in somewhere; a key brought in always stays.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((heavy if heavy is not None else np.zeros(0, np.uint64), plain, later))
-    names = ["key", "doc_id", "n", "place"] if kind == LISTED else ["key"]
+
+KEY_ROWS = 512  # prefixes unpacked at once
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows whose set the task has not just seen, with their first shingles."""
+    repeats = Repeats()
+    for batch in batches:
+        for a in range(0, batch.num_rows, KEY_ROWS):
+            part = batch.slice(a, KEY_ROWS)
+            part = part.filter(pa.array(repeats.new(part.column("f1").to_numpy(zero_copy_only=False))))
+            yield part, [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in part.column("prefix")]
+
+
+def plain_keys(sets: DataFrame) -> DataFrame:
+    """(key) of all sets' first shingles in the order of hashes, to be counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy_now, plain_now, later_now = shared.value
-        counted, brought = (Slots(plain_now), Slots(later_now)) if kind == LISTED else (None, None)
-        seen = np.zeros(1 << 16, dtype=np.uint64)  # copies within a task are mostly listed once; the class edges join them
-
-        def lists(part: pa.RecordBatch) -> pa.RecordBatch:
-            found: list[tuple[np.ndarray, ...]] = []
-            for doc, s in _sets(part, k):
-                if doc is None or not len(s):
-                    continue
-                mark = xxhash.xxh3_64_intdigest(s.tobytes())
-                if seen[mark & 0xFFFF] == mark:
-                    continue
-                seen[mark & 0xFFFF] = mark
-                p = prefix_length(len(s), least)
-                first, moved = s[:p], among(s[:p], heavy_now).any()
-                if moved:
-                    often = among(s, heavy_now)
-                    first = np.concatenate([s[~often], s[often]])[:p]
-                if kind == LATER:
-                    first = first[first > s[p - 1]] if moved else first[:0]
-                place = np.arange(len(first))
-                if kind == LISTED:
-                    stays = counted.has(first) | brought.has(first) | (first > s[p - 1])
-                    first, place = first[stays], place[stays]
-                found.append((first.view(np.int64), np.full(len(first), doc), np.full(len(first), len(s)), place))
-            flat = [np.concatenate(c).astype(np.int64) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((),) * 4)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in flat[: len(names)]], names)
+        for _, prefixes in _prefixes(batches):
+            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["key"])
 
+    return sets.select("f1", "prefix").mapInArrow(run, "key bigint")
+
+
+def moved_prefixes(docs: DataFrame, sets: DataFrame, heavy: np.ndarray, k: int, least: int) -> DataFrame:
+    """(doc_id, n, last, keys) of the documents with a heavy shingle among their first: their first shingles in the order
+    with the heavy ones at the end, and the last one of the order of hashes. Only these texts are read again."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, prefixes in _prefixes(batches):
+            hit = np.array([among(p, shared.value).any() for p in prefixes], dtype=bool)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(hit))], ["d"])
+
+    ids = common.stored(sets.select("doc_id", "f1", "prefix").mapInArrow(touched, "d bigint"), "join-touched")
+    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(ids, "d"))
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = []
+        for doc, s in _sets(batch.filter(pa.array(Slots(wanted.value).has(own))), k):
+            if doc is None or not len(s):
+                continue
+            p = prefix_length(len(s), least)
+            often = among(s, shared.value)
+            if often[:p].any():
+                rows.append((doc, len(s), int(s[p - 1].view(np.int64)), np.concatenate([s[~often], s[often]])[:p].tobytes()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        columns = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n", "last", "keys"])
+
+    return common.map_batches(docs, one, "doc_id bigint, n bigint, last bigint, keys binary")
+
+
+def brought_keys(moved: DataFrame) -> DataFrame:
+    """(key) of the shingles that only the move has brought among the first."""
+
+    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0, np.uint64)]
+        for keys, last in zip(batch.column("keys"), batch.column("last").to_numpy(zero_copy_only=False)):
+            keys = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
+            found.append(keys[keys > last.view(np.uint64)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    return common.map_batches(moved.select("keys", "last"), one, "key bigint")
+
+
+def listing(sets: DataFrame, moved: DataFrame, heavy: np.ndarray, plain: bytes, brought: bytes) -> DataFrame:
+    """(key, doc_id, n, place): each set under its first shingles in the order with the heavy ones at the end.
+
+    Keys that no other document can have are left out: a key of the order of hashes stays if it was counted twice there or if
+    a move has brought it in somewhere; a key brought in always stays.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast((heavy, plain, brought))
+
+    def rows(found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        columns = zip(*((keys.view(np.int64), np.full(len(keys), doc), np.full(len(keys), n), place) for doc, n, keys, place in found)) if found else ((),) * 4
+        flat = [np.concatenate(c).astype(np.int64) if found else np.zeros(0, np.int64) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in flat], ["key", "doc_id", "n", "place"])
+
+    def unmoved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy_now, counted, others = shared.value[0], Slots(shared.value[1]), Slots(shared.value[2])
+        for part, prefixes in _prefixes(batches):
+            found = []
+            for doc, n, keys in zip(part.column("doc_id").to_pylist(), part.column("n_shingles").to_pylist(), prefixes):
+                if not among(keys, heavy_now).any():
+                    place = np.flatnonzero(counted.has(keys) | others.has(keys))
+                    found.append((doc, n, keys[place], place))
+            yield rows(found)
+
+    def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, others = Slots(shared.value[1]), Slots(shared.value[2])
         for batch in batches:
-            for part in common.slices(batch):
-                yield lists(part)
+            for a in range(0, batch.num_rows, KEY_ROWS):
+                part, found = batch.slice(a, KEY_ROWS), []
+                for doc, n, last, keys in zip(*(part.column(c) for c in ("doc_id", "n", "last", "keys"))):
+                    keys = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
+                    late = keys > np.int64(last.as_py()).view(np.uint64)
+                    place = np.flatnonzero(counted.has(keys) | others.has(keys) | late)
+                    found.append((doc.as_py(), n.as_py(), keys[place], place))
+                yield rows(found)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    schema = "key bigint, doc_id bigint, n bigint, place bigint"
+    return sets.select("doc_id", "n_shingles", "f1", "prefix").mapInArrow(unmoved, schema).unionByName(moved.mapInArrow(shifted, schema))
 
 
 def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -216,6 +291,7 @@ def sized_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
 def _tiles(listed: DataFrame, slim: DataFrame, block: int) -> DataFrame:
     """(tile, doc_id, n, place, c, side, mask) of tiles with documents of several components; large tiles are cut in pairs of blocks."""
     stats = listed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 < c1")
+    stats = common.stored(stats.select("key", "rows"), "join-tiles")
     open_ = listed.join(stats.select("key", "rows"), "key")
     masks = slim.select(F.col("doc_id").alias("d"), "mask").dropDuplicates(["d"])
     large = open_.where(F.col("rows") >= MASKED_FROM).join(masks, F.col("doc_id") == F.col("d")).drop("d")
@@ -278,7 +354,7 @@ def dense_links(leads: DataFrame, known: DataFrame, docs: DataFrame, slim: DataF
     In each round every document of a tile meets one member, another one each time, unless they are connected already.
     That is at most LEADERS pairs a document; the later search is exact whatever is found here.
     """
-    large = leads.groupBy("key").count().where(F.col("count") >= DENSE_FROM).select("key")
+    large = common.stored(leads.groupBy("key").count().where(F.col("count") >= DENSE_FROM).select("key"), "join-large")
     members = leads.join(large, "key").join(known.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     members = common.stored(members.select("doc_id", "key", "c"), "join-dense")
     if not members.take(1):
@@ -325,7 +401,8 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     # Most members of large groups share one of their first shingles with the group's smallest member.
     reps = usable.join(edges.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     leads = common.stored(reps.select("doc_id", F.explode("leads").alias("key")), "join-leads")
-    leader = leads.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # Counts by key are stored before they meet the keys again: adaptive execution can then split a key of very many documents.
+    leader = common.stored(leads.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "join-leaders")
     first = leads.join(leader, "key").where("b < doc_id").groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
     near = _verified(common.stored(first, "join-first"), docs, slim, k, least)
     known = common.components(edges.unionByName(near))
@@ -333,17 +410,18 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
     for links in more:
         near = near.unionByName(links)
     known = common.components(edges.unionByName(near)) if more else known
-    common.discard(leads)
+    common.discard(leads, leader)
 
-    counted = postings(docs, k, least, PLAIN).groupBy("key").count().where("count > 1")
+    counted = plain_keys(usable).groupBy("key").count().where("count > 1")
     counted = common.stored(counted, "join-keys")
     bounds = counted.where(F.col("count") > COMMON_FROM).orderBy(F.desc("count"), "key").limit(MAX_COMMON)
     heavy = np.sort(np.array([r.key for r in bounds.select("key").collect()], dtype=np.int64).view(np.uint64))
-    later = common.stored(postings(docs, k, least, LATER, heavy).distinct(), "join-later")
-    listed = postings(docs, k, least, LISTED, heavy, slot_filter(counted, "key"), slot_filter(later, "key"))
+    moved = common.stored(moved_prefixes(docs, usable, heavy, k, least), "join-moved")
+    later = common.stored(brought_keys(moved).distinct(), "join-later")
+    listed = listing(usable, moved, heavy, slot_filter(counted, "key"), slot_filter(later, "key"))
     listed = listed.join(known.toDF("doc_id", "c"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     listed = common.stored(listed, "join-listed")
-    common.discard(counted, later)
+    common.discard(counted, later, moved)
     tiles = _tiles(listed, slim, TILE_BLOCK)
     ordered = tiles.repartition(common.width(docs.sparkSession), "tile").sortWithinPartitions("tile", "n", "doc_id")
     pairs = ordered.mapInArrow(lambda b: sized_pairs(b, least), "a bigint, b bigint").where("a <> b").distinct()
@@ -356,8 +434,11 @@ def join(docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Documents whose id is their component's, each once; rows without an id stay."""
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """Documents whose id is their component's; rows without an id stay.
+
+    The ids that go are fewer than those that stay: a measured table of them is broadcast, so that no text is shuffled; a
+    larger one is an ordinary join side.
+    """
+    gone = small_side(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     whole = docs.select(F.struct("*").alias("doc"))
-    one = whole.where("doc.doc_id IS NOT NULL").join(kept, F.col("doc.doc_id") == F.col("_kept"), "left_semi")
-    return one.unionByName(whole.where("doc.doc_id IS NULL")).select("doc.*")
+    return whole.join(gone, F.col("doc.doc_id") == F.col("_gone"), "left_anti").select("doc.*")

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from silovalue.llm import html_cut, licenses, toxicity
+from silovalue.llm import html_cut, licenses, mixing, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -103,7 +103,40 @@ def test_pages_of_an_empty_table(spark):
     assert html_cut.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
-def test_stages_and_their_columns(spark):
+def test_stages_drop_what_they_should_and_nothing_else(spark):
+    """Each stage on its own input, the rows of sf0.001 and odd ones, against the operators' rows and brute force."""
+    from test_join import groups_by_brute_force
+
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "source mix", "packing"]
-    rows = corpus_pipeline.run(spark, SF)
-    assert rows.count() > 0 and {"doc_id", "start", "length", "sequence_id"} <= set(rows.columns)
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(9001, None), (9002, ""), (9002, ""), (None, "a text without an id"), (9003, "long " * 30_000)]
+    docs = given.unionByName(spark.createDataFrame([(d, t, "en", None, 0) for d, t in odd], "doc_id bigint, text string, lang string, source string, n_chars int").select(
+        *[F.col(c).cast(k).alias(c) for c, k in given.dtypes])).cache()
+    toxic, near, mix, pack = (stage for _, stage in corpus_pipeline.STAGES)
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+
+    clean = toxic(spark, docs, sf)
+    assert clean.columns == docs.columns
+    clean_rows = clean.collect()
+    scored = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+    assert key(clean_rows) == key(r.doc for r in scored if r.score < 0.5) and 0 < len(clean_rows) < docs.count()
+
+    one = near(spark, spark.createDataFrame(clean_rows, docs.schema), sf)
+    assert one.columns == docs.columns
+    one_rows = one.collect()
+    groups = groups_by_brute_force([(r.doc_id, r.text) for r in clean_rows if r.doc_id is not None])
+    named = [r.doc_id for r in one_rows if r.doc_id is not None]
+    assert sorted(set(named)) == sorted(set(groups.values())) and sum(r.doc_id is None for r in one_rows) == sum(r.doc_id is None for r in clean_rows)
+
+    kept = spark.createDataFrame(one_rows, docs.schema)
+    mixed = mix(spark, kept, sf)
+    assert mixed.columns == docs.columns
+    mixed_rows = mixed.collect()
+    wanted = {r.doc_id: r.copies for r in mixing.digest(mixing.mix(kept)).collect() if r.doc_id is not None}
+    assert {d: sum(r.doc_id == d for r in mixed_rows) for d in wanted} == wanted
+
+    packed = pack(spark, spark.createDataFrame(mixed_rows[:40], docs.schema), sf).collect()
+    assert sum(r.length for r in packed if r.doc_id == mixed_rows[0].doc_id) == sum(
+        r.doc_tokens for r in packed if r.doc_id == mixed_rows[0].doc_id and r.start == 0)
+    assert corpus_pipeline.run(spark, sf).count() > 0

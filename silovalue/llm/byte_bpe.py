@@ -10,6 +10,7 @@ their tokens out at the end, long ones as they become certain.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from silovalue.llm import common
 
-MOST_STATES = 120_000  # determined states kept at once
-MOST_PAIRS = 250_000  # remembered answers of "may follow"
-MOST_PIECES = 250_000  # encoded pieces kept at once
+MOST_STATES = 250_000  # determined states kept at once
+MOST_PAIRS = 400_000  # remembered answers of "may follow"
+MOST_PIECES = 400_000  # encoded pieces kept at once
 LONGEST_KEPT = 64  # characters of a piece that is kept
 NONE = -1
 NODE_BITS = 24
@@ -220,14 +221,14 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Ids of pieces as bytes of little-endian 32-bit numbers; a new piece goes through the transducer."""
+    """Ids of pieces as bytes of 32-bit numbers; a new piece goes through the transducer."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), dtype="<i4").tobytes()
+        ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= MOST_PIECES:
                 self.clear()
@@ -243,7 +244,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         found = self.pattern.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.pattern.finditer(text))
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), dtype="<i4")
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), dtype=np.int32)
 
 
 def follows(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:

@@ -518,6 +518,74 @@ def gaussian_mmd_rff(
 
 BLOCK_ROWS = 1024
 TILE_BLOCKS = 16
+HELD_SUMS = 100_000
+
+
+class KernelBlock:
+    """Rows of a block sorted by silo: their silos, where each begins, the vectors and their squared lengths."""
+
+    def __init__(self, silos: pa.Array, flat: pa.Array):
+        coded = silos.dictionary_encode(null_encoding="encode")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        found, self.starts = np.unique(codes[order], return_index=True)
+        names = coded.dictionary.to_pylist()
+        self.silos = [names[i] for i in found]
+        self.own = np.searchsorted(self.starts, np.arange(len(codes)), side="right") - 1
+        self.x = flat.to_numpy(zero_copy_only=False).reshape(len(codes), -1)[order]
+        self.squares = (self.x * self.x).sum(axis=1)
+
+
+def _kernel_table(a: KernelBlock, b: KernelBlock, rate: float, least: float) -> np.ndarray:
+    """Sums of exp(rate ‖x−y‖²) by silo of a and silo of b. Where few exponents reach ``least``, only those are raised."""
+    power = a.x @ (b.x.T * (-2 * rate))
+    power += (rate * a.squares)[:, None]
+    power += (rate * b.squares)[None, :]
+    np.minimum(power, 0, out=power)
+    near = power >= least
+    if 8 * np.count_nonzero(near) < power.size:
+        x, y = np.nonzero(near)
+        at = a.own[x] * len(b.silos) + b.own[y]
+        return np.bincount(at, np.exp(power[x, y]), len(a.silos) * len(b.silos)).reshape(len(a.silos), -1)
+    np.exp(power, out=power)
+    return np.add.reduceat(np.add.reduceat(power, a.starts, axis=0), b.starts, axis=1)
+
+
+def _kernel_sums(batches: Iterator[pa.RecordBatch], rate: float, least: float) -> Iterator[pa.RecordBatch]:
+    """(src, tgt, value) of the blocks that meet under a key: those of side 0 come first and are held, one tile at most.
+
+    An unordered pair of blocks is worked out once and counts for both orders of its silos.
+    """
+    sums: dict[tuple[str | None, str | None], float] = {}
+    key, held = None, []
+
+    def add(a: KernelBlock, b: KernelBlock, both: bool) -> None:
+        table = _kernel_table(a, b, rate, least).tolist()
+        for s, row in zip(a.silos, table):
+            for t, value in zip(b.silos, row):
+                sums[s, t] = sums.get((s, t), 0.0) + value
+                if both:
+                    sums[t, s] = sums.get((t, s), 0.0) + value
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.float64())]
+        sums.clear()
+        return pa.RecordBatch.from_arrays(columns, ["src", "tgt", "value"])
+
+    for batch in batches:
+        for i, (now, side, alone) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "side", "alone")))):
+            if now != key:
+                key, held = now, []
+            block = KernelBlock(batch.column("silos")[i].values, batch.column("flat")[i].values)
+            for other in held if alone or side else ():
+                add(other, block, True)
+            if alone:
+                add(block, block, False)
+            if side == 0:
+                held.append(block)
+            if len(sums) > HELD_SUMS:
+                yield out()
+    yield out()
 
 
 def gaussian_mmd(
@@ -527,8 +595,9 @@ def gaussian_mmd(
 
     Beyond a distance of 9σ a kernel value is under 3e-18 and adds nothing to a mean. Rows are put in a grid of that width
     along the main directions of the data, which never stretch distances, so only rows of neighbouring grid cells have to
-    meet. Inside a cell rows stand in blocks of bounded size; blocks meet by an equi-join on (cell, tile) in which a
-    crowded cell is many tiles, and a block pair leaves its task as one sum per pair of silos.
+    meet. Inside a cell rows stand in blocks of bounded size, and blocks in tiles; each unordered pair of tiles is one key,
+    to which a task holds the blocks of one tile and streams those of the other. What leaves it is one sum per pair of silos.
+    Rows without a vector are left out.
     """
     moments = gramian(df, features)
     pooled = moments.where(F.col("client_id") == GLOBAL).first()
@@ -538,56 +607,32 @@ def gaussian_mmd(
     )
     reach = 9 * sigma
     spots = [F.floor(arrays.dot(F.col(features), arrays.literal(c)) / reach).cast("bigint") for c in components]
-    placed = df.select(F.col("client_id").cast("string").alias("c"), id_col, features, F.array(*spots).alias("cell"))
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    block = F.pmod(F.xxhash64(id_col), F.ceil(F.col("rows") / BLOCK_ROWS))
-    blocks = placed.join(small_side(sizes), "cell").withColumn("block", block).withColumn(
+    placed = df.where(F.col(features).isNotNull()).select(
+        F.col("client_id").cast("string").alias("c"), id_col, F.col(features).cast("array<double>").alias("x"), F.array(*spots).alias("cell"))
+    sizes = small_side(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")))
+    count = F.ceil(F.col("rows") / BLOCK_ROWS)
+    # Rows that share an id are spread by their vectors.
+    blocks = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(id_col, "x"), count)).withColumn(
         "tiles", F.ceil(F.col("rows") / BLOCK_ROWS / TILE_BLOCKS)
-    ).groupBy("cell", "block", "tiles").agg(F.collect_list(F.struct("c", features)).alias("rows"))
-    blocks = blocks.withColumn("tile", F.pmod("block", "tiles"))
+    ).groupBy("cell", "block", "tiles").agg(F.collect_list(F.struct("c", "x")).alias("rows"))
+    blocks = blocks.select(
+        "cell", F.pmod("block", "tiles").alias("tile"), F.col("rows.c").alias("silos"), F.flatten("rows.x").alias("flat"))
     around = [[]]
     for _ in components:
         around = [a + [s] for a in around for s in (-1, 0, 1)]
     steps = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in a]) for a in around])
-    near = F.explode(steps).alias("step")
-    # A block meets every tile of each neighbouring cell: it is copied once per tile of the other side.
-    tiles = sizes.select(F.col("cell").alias("other"), F.ceil(F.col("rows") / BLOCK_ROWS / TILE_BLOCKS).alias("tiles_o"))
-    left = blocks.select("cell", F.col("rows").alias("a"), "tile", near).select(
-        "a", F.col("tile").alias("ta"), F.col("cell").alias("ca"), F.zip_with("cell", "step", lambda x, s: x + s).alias("other")
-    ).join(tiles, "other").withColumn("tb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles_o") - 1))).drop("tiles_o")
-    right = blocks.select(
-        F.col("cell").alias("other"), F.col("tile").alias("tb"), F.col("rows").alias("b"), near
-    ).select("other", "tb", "b", F.zip_with("other", "step", lambda x, s: x + s).alias("ca")).join(
-        tiles.select(F.col("other").alias("ca"), F.col("tiles_o").alias("tiles_a")), "ca"
-    ).withColumn("ta", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles_a") - 1))).drop("tiles_a")
-    met = left.join(right, ["ca", "other", "ta", "tb"]).select("a", "b")
-    scale = -1 / (2 * sigma * sigma)
-
-    def unpack(rows) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r["c"] for r in rows]), np.stack([np.asarray(r[features]) for r in rows])
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
-            for a, b in zip(batch["a"], batch["b"]):
-                ca, x = unpack(a)
-                cb, y = unpack(b)
-                gap = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
-                k = np.exp(np.clip(gap, 0, None) * scale)
-                names_a, pos_a = np.unique(ca, return_inverse=True)
-                names_b, pos_b = np.unique(cb, return_inverse=True)
-                rows_summed = np.zeros((len(names_a), k.shape[1]))
-                np.add.at(rows_summed, pos_a, k)
-                table = np.zeros((len(names_a), len(names_b)))
-                np.add.at(table.T, pos_b, rows_summed.T)
-                for i, s in enumerate(names_a):
-                    for j, t in enumerate(names_b):
-                        sums[s, t] = sums.get((s, t), 0.0) + table[i, j]
-            yield pd.DataFrame({"src": [k[0] for k in sums], "tgt": [k[1] for k in sums], "value": list(sums.values())})
-
-    sums = control_table(met.mapInPandas(kernel, "src string, tgt string, value double").groupBy("src", "tgt").agg(
-        F.sum("value").alias("value")
-    ))
+    # A block goes once to each tile of its own and the neighbouring cells: the lesser of two cells or tiles is side 0.
+    others = sizes.select(F.col("cell").alias("other"), F.ceil(F.col("rows") / BLOCK_ROWS / TILE_BLOCKS).alias("tiles"))
+    met = blocks.withColumn("step", F.explode(steps)).withColumn("other", F.zip_with("cell", "step", lambda x, s: x + s)).drop("step").join(
+        others, "other").withColumn("tile_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    mine, theirs = F.struct("cell", "tile"), F.struct(F.col("other").alias("cell"), F.col("tile_o").alias("tile"))
+    key = F.concat_ws("/", F.least(mine, theirs).cast("string"), F.greatest(mine, theirs).cast("string"))
+    met = met.select(key.alias("key"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), (mine == theirs).alias("alone"), "silos", "flat")
+    dealt = met.repartition("key").sortWithinPartitions("key", "side")
+    rate = -1 / (2 * sigma * sigma)
+    sums = control_table(dealt.mapInArrow(
+        lambda batches: _kernel_sums(batches, rate, rate * reach * reach), "src string, tgt string, value double"
+    ).groupBy("src", "tgt").agg(F.sum("value").alias("value")))
     return _mmd_from_sums(sums, moments.select("client_id", "n"), n_rows)
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,39 @@ def test_mmd_with_a_crowd_of_copies(spark, monkeypatch):
         assert v == pytest.approx(mmd(kept[s], kept[t], 0.2), abs=1e-12)
 
 
+def test_mmd_leaves_out_rows_without_a_vector(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_ROWS", 4)
+    rng = np.random.RandomState(2)
+    data = [(None if i % 3 else 1, None if i % 4 == 0 else i % 4, rng.normal(size=2).tolist()) for i in range(50)]
+    df = spark.createDataFrame(data + [(90, 1, None), (91, 2, None)], "row_id bigint, client_id bigint, features array<double>")
+    kept = {str(s): np.array([f for _, c, f in data if c == s]) for s in (1, 2, 3)}
+    kept["Global"] = np.array([f for _, _, f in data])
+    found = table(X.gaussian_mmd(df, sigma=0.3))
+    for s, t in itertools.product(("1", "2", "3"), kept):
+        assert found[s, t] == pytest.approx(mmd(kept[s], kept[t], 0.3), abs=1e-12)
+
+
+def test_mmd_pairs_of_tiles_are_worked_out_once_in_bounded_groups():
+    """A task holds the blocks of one tile; those of the other are streamed past it, and few near pairs cost few exponents."""
+    rng = np.random.RandomState(0)
+    x, y, z = rng.normal(size=(12, 2)), rng.normal(size=(11, 2)), rng.normal(size=(4, 2))
+    names = lambda v: ["b" if i % 2 else "a" for i in range(len(v))]
+    rows = [("p", 0, False, x), ("p", 0, False, z), ("p", 1, False, y), ("q", 0, True, x), ("q", 0, True, y)]
+    batch = pa.RecordBatch.from_pylist([
+        {"key": k, "side": s, "alone": o, "silos": names(v), "flat": v.ravel().tolist()} for k, s, o, v in rows])
+    for least in (-1e9, -1e-9):  # the second takes the sparse way: only a vector with itself is near
+        found = {}
+        for out in X._kernel_sums(iter([batch]), -0.5, least):
+            for r in out.to_pylist():
+                found[r["src"], r["tgt"]] = r["value"]
+        expected = dict.fromkeys(itertools.product("ab", "ab"), 0.0)
+        for left, right in [(x, y), (y, x), (z, y), (y, z), (x, x), (y, y), (x, y), (y, x)]:
+            for (s, u), (t, v) in itertools.product(zip(names(left), left), zip(names(right), right)):
+                gap = ((u - v) ** 2).sum()
+                expected[s, t] += np.exp(-0.5 * gap) if -0.5 * gap >= least else 0.0
+        assert found == pytest.approx(expected)
+
+
 def test_narrow_kernel_sees_only_the_row_itself(spark):
     df, kept = silos(spark, [50, 30], d=20)
     found = table(X.gaussian_mmd(df, sigma=0.05))

@@ -123,7 +123,8 @@ class Tokens:
 
     Texts are cut only where the tokenizer's own pre-tokenizer always cuts, before single spaces and between letters and
     ASCII punctuation; each distinct part is encoded by the tokenizers library once and kept in a bounded cache. Texts
-    for which the cut is not certain are encoded whole.
+    for which the cut is not certain are encoded whole. Where the tokenizer drops spaces and lower-cases, words that differ
+    in these only are one part.
     """
 
     SEPARATOR = "<|endoftext|>"
@@ -145,11 +146,13 @@ class Tokens:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, dtype=np.uint32), [0], 0
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.starts = np.zeros(1 << 16, dtype=np.int64)  # of each part in flat, and the end of the last
 
     def _learn(self, words: list[str]) -> None:
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
+    COMPOSED = r"[A-Z]\p{M}"  # lower-cased before, it might be composed to another letter
             text = self.SEPARATOR.join(part) + self.SEPARATOR
             ids = np.array(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(ids == self.separator)
@@ -157,15 +160,18 @@ class Tokens:
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
-            first = len(self.starts) - 1
-            self.starts.extend((self.used + ends - np.arange(len(ends))).tolist())
+            first = len(self.known)
+            while first + len(part) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.starts[first + 1 : first + 1 + len(part)] = self.used + ends - np.arange(len(ends))
             self.known.update(zip(part, range(first, first + len(part))))
             self.used += len(ids)
+        self.lowers = "Lowercase" in repr(self.joined.normalizer)
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for left, right in ((self.LETTERS, self.MARKS), (self.MARKS, self.LETTERS)):
             texts = pc.replace_substring_regex(texts, f"([{left}])([{right}])", "\\1\x00\\2")
-        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 " if self.spaces_count else "\x00"), "\x00")
         words, bounds = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
         coded = words.dictionary_encode()
@@ -176,13 +182,15 @@ class Tokens:
         if new:
             self._learn(new)
         slots = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        starts = np.array(self.starts, dtype=np.int64)
         at = slots[coded.indices.to_numpy(zero_copy_only=False)]
-        begin, count = starts[at], starts[at + 1] - starts[at]
+        begin = self.starts[at]
+        count = self.starts[at + 1] - begin
         ends = np.cumsum(count)
         where = np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
         return self.flat[where], np.concatenate([[0], ends])[bounds]
 
+        if self.lowers:
+            texts = pc.if_else(pc.match_substring_regex(texts, self.COMPOSED), texts, pc.ascii_lower(texts))
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")

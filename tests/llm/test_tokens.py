@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from silovalue.llm import codes, mixing, packing, piece_counts
+from silovalue.llm import codes, common, mixing, packing, piece_counts
 
 BYTES, WORDS = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 DOCS = "doc_id bigint, text string, source string, offset int, size int"
@@ -36,6 +37,17 @@ def test_packing_covers_each_id_once(spark):
     assert packing.pack(frame(spark).where(F.lit(False)), BYTES).count() == 0
 
 
+def test_words_that_the_tokenizer_takes_alike_are_learned_once():
+    coder = common.Tokens(WORDS)
+    text = "Word word WORD\nwORD (word) word."
+    odd = ["H\u0331 h\u0331 \u1e96 K\u0301", "It'S IT's it's", " Two  spaces\tAND Tab ", "\u00c9T\u00c9 \u00e9t\u00e9", "SS <|ENDOFTEXT|> x", ""]
+    for got, given in zip(coder.encode(pa.array([text, *odd])), [text, *odd]):
+        assert [*got, 1] == ids_of(WORDS, given).tolist()
+    coder._clear()
+    coder.encode(pa.array([text]))
+    assert [w for w in coder.known if w.strip().lower() == "word"] == ["word"]
+
+
 def test_codes_read_back_what_was_written(spark, tmp_path):
     path = str(tmp_path / "codes")
     codes.write(frame(spark), path, WORDS)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silovalue.llm import ngram_join, spotsigs, vector_graph
+from silovalue.functions import lineage
+from silovalue.llm import common, ngram_join, spotsigs, vector_graph
 
 DOCS = "doc_id bigint, text string, component_id string, n_shingles int"
 
@@ -114,6 +115,29 @@ def test_sizes_that_steer_the_work_leave_the_result(spark, monkeypatch, common_f
     assert got == groups_by_brute_force(rows)
 
 
+def test_few_edges_over_many_partitions_leave_few_files(spark, monkeypatch):
+    """Rounds of a small table ran in as many tasks as the session's width, each with its files."""
+    rows = [(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 2) for i in range(0, 20, 2)] + [(7, 7)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    written = []
+    keep = lineage.cut_lineage
+    monkeypatch.setattr(lineage, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (20_000, 9):
+            monkeypatch.setattr(common, "EDGES_OF_A_TASK", most)
+            written.clear()
+            edges = spark.createDataFrame(rows, "a bigint, b bigint").repartition(40)
+            got = {r.node: r.component for r in common.components(edges).collect()}
+            assert got == {i: 0 if i <= 21 else i - i % 2 for i in range(60)}
+            assert {t.rdd.getNumPartitions() for t in written[1:]} == {1 if most > 40 else 5}
+            assert spark.conf.get(common.SHUFFLE_SETTING) == "false"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_null_ids_link_with_nothing(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text), (None, text), (4, text), (2, text), (2, text), (2, None)]

@@ -10,7 +10,8 @@ from silovalue.llm import mixing, ngram_join, packing, toxicity
 from silovalue.llm.common import table
 
 
-CACHED_WORDS = 250_000  # workers of the last stage stand beside executors that the earlier ones have filled
+# Workers of the last stage stand beside executors that the earlier ones have filled.
+CACHED_WORDS, TEXT_AT_ONCE = 100_000, 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of binary length with their ids."""
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED_WORDS))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED_WORDS, at_once=TEXT_AT_ONCE))
 
 
 STAGES = [

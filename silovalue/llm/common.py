@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import chain
@@ -158,8 +159,7 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.joined, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.joined = Tokenizer.from_file(path)
         self.separator = self.joined.token_to_id(self.SEPARATOR)
         self.spaces_count, self.most = self.joined.normalizer is None, most
         self.lowers = "Lowercase" in repr(self.joined.normalizer)
@@ -222,9 +222,11 @@ class Tokens:
             flat, bounds = self._by_words(texts.take(pa.array(sure)))
             for i, a, b in zip(sure, bounds[:-1], bounds[1:]):
                 out[i] = flat[a:b]
+        self.joined.encode_special_tokens = True  # one tokenizer for both ways: a second one takes as much memory again
         for i in np.flatnonzero(unsure.to_numpy(zero_copy_only=False)):
-            found = self.whole.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
+            found = self.joined.encode(texts[int(i)].as_py(), add_special_tokens=False).ids
             out[i] = np.array(found, dtype=np.uint32)
+        self.joined.encode_special_tokens = False
         return out
 
 
@@ -239,6 +241,14 @@ def tokens(path: str, most: int = MAX_CACHED_WORDS) -> Tokens:
     return _LOADED[path]
 
 
+def forget_tokens() -> None:
+    """For workers that go on with other work: the tokenizers and what they remember are given back."""
+    if _LOADED:
+        _LOADED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 borders that cut the values of an integer column into ranges of about as many rows."""
     wanted = [i / parts for i in range(1, parts)]

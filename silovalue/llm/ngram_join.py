@@ -70,6 +70,7 @@ def linked(common_: int, n: int, m: int, least: int) -> bool:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    common.forget_tokens()
     for part in common.slices(batch):
         for doc, hashes in zip(part.column("doc_id").to_pylist(), common.shingles_of(part.column("text").to_pylist(), k)):
             yield doc, common.distinct(hashes)

@@ -22,14 +22,17 @@ def binary_lengths(n: int, context: int) -> list[int]:
     return [context] * (n // context) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1, cached: int = common.MAX_CACHED_WORDS) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1, cached: int = common.MAX_CACHED_WORDS,
+    at_once: int = common.SLICE_BYTES,
+) -> DataFrame:
     """One row per piece, which is a whole sequence of its own: (doc_id, start, length, ids, doc_tokens, sequence_id,
     offset, bucket). ``ids`` are little-endian unsigned 32-bit; ``bucket`` is log2 of the length.
 
     Every document ends with ``end_id``; a null or empty text is that id alone. Null and repeated doc_ids keep their own
     rows. Columns other than doc_id and text are not read. Nothing is shuffled: a sequence's number is the number of the
     input partition and its place there, so a task that runs again gives the same rows. ``cached`` parts of texts are kept
-    encoded in each worker: fewer take less memory and more time.
+    encoded in each worker, and about ``at_once`` bytes of text are handled together: fewer take less memory and more time.
     """
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
@@ -37,7 +40,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=at_once):
                 rows: list[tuple] = []
                 ids = common.tokens(tokenizer, cached).encode(part.column("text"))
                 for doc, found in zip(part.column("doc_id").to_pylist(), ids):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from silovalue.llm import codes, common, mixing, packing, piece_counts
+from silovalue.llm import codes, common, mixing, ngram_join, packing, piece_counts
 
 BYTES, WORDS = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 DOCS = "doc_id bigint, text string, source string, offset int, size int"
@@ -26,6 +26,12 @@ def ids_of(path, text):
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4")
 
 
+def test_workers_give_tokenizers_back_before_a_join():
+    common.tokens(WORDS)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "a b c d e f"}])
+    assert [len(s) for _, s in ngram_join._sets(batch, 5)] == [2] and not common._LOADED
+
+
 def test_packing_covers_each_id_once(spark):
     pieces = packing.pack(frame(spark), BYTES).toPandas()
     for doc, text in enumerate(TEXTS):

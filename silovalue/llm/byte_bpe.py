@@ -25,6 +25,7 @@ MOST_PAIRS = 400_000  # remembered answers of "may follow"
 MOST_PIECES = 400_000  # encoded pieces kept at once
 LONGEST_KEPT = 64  # characters of a piece that is kept
 NONE = -1
+NO_RANK = 1 << 62  # after any rank: ranks may be larger than their number
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
 SETTLE = 4096  # bytes of a piece after which certain tokens are given out
@@ -40,7 +41,7 @@ def merge_bytes(ranks: dict[bytes, int], data: bytes, least: int = 1) -> list[by
     """The merges by definition: the pair of lowest rank, the leftmost of equals, until none is a token (or ``least`` are left)."""
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > least:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks)), i) for i in range(len(parts) - 1))
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], NO_RANK), i) for i in range(len(parts) - 1))
         if parts[at] + parts[at + 1] not in ranks:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]

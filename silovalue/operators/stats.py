@@ -84,7 +84,7 @@ def t_two_sided(t: Column, df: Column) -> Column:
 def pearson_p_value(correlations: DataFrame) -> DataFrame:
     """Adds ``p`` to (…, r, n): t test with n − 2 degrees of freedom."""
     df = F.col("n") - 2
-    t = F.col("r") * F.sqrt(df / (1 - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(df.cast("double"), 1 - F.col("r") * F.col("r")))  # may be worked out where exact, too
     exact = F.abs("r") >= 1 - 1e-15
     p = F.when(F.col("r").isNull() | (df < 1), F.lit(None).cast("double")).when(exact, F.lit(0.0)).otherwise(t_two_sided(t, df))
     return correlations.withColumn("p", p)
@@ -107,9 +107,14 @@ def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Data
 
 
 def permutation_p(
-    x: np.ndarray, y: np.ndarray, method: str = "exact", resamples: int = 9_999, seed: int = 1
+    x: np.ndarray, y: np.ndarray, method: str | None = None, resamples: int = 9_999, seed: int = 1
 ) -> tuple[float | None, float | None]:
-    """Coefficient and two-sided permutation p of two rank vectors, over all permutations or over ``resamples`` drawn ones."""
+    """Coefficient and two-sided permutation p of two rank vectors, over all permutations or over ``resamples`` drawn ones.
+
+    Without a method, all permutations are tried where they are no more than ``resamples``.
+    """
+    if method is None:
+        method = "exact" if len(x) <= MOST_EXACT and math.factorial(len(x)) <= resamples else "sampled"
     x, y = x - x.mean(), y - y.mean()
     scale = np.sqrt((x * x).sum() * (y * y).sum())
     if scale == 0:
